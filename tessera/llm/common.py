@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space that all word and text rules of this subpackage use: space, tab, LF, VT, FF, CR.
 SPACES = r"\x20\x09-\x0D"
@@ -41,6 +42,11 @@ def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The schema of df with the fields of ddl behind it."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, root) for every node of edges(u, v): root is the smallest node that u reaches.
 

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import op5_exact_dedup, op7_simhash
+from tessera.llm import op1_sentencepiece, op2_langid, op5_exact_dedup, op7_simhash
 from tessera.llm.common import table
 
 
+def op1_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_sentencepiece.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_langid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_langid.language_id(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,6 +28,8 @@ def op7_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece_query,
+        "op2_langid": op2_langid_query,
         "op5_exact_dedup": op5_exact_dedup_query,
         "op7_simhash": op7_simhash_query,
     }
