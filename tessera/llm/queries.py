@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import op1_sentencepiece, op2_langid, op5_exact_dedup, op7_simhash
+from tessera.llm import op1_sentencepiece, op2_langid, op3_secrets, op5_exact_dedup, op6_decontaminate, op7_simhash
 from tessera.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op2_langid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,7 +38,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece_query,
         "op2_langid": op2_langid_query,
+        "op3_secrets": op3_secrets_query,
         "op5_exact_dedup": op5_exact_dedup_query,
+        "op6_decontaminate": op6_decontaminate_query,
         "op7_simhash": op7_simhash_query,
     }
 
