@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -47,6 +47,12 @@ def extended(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: a one-row generator keeps the optimizer from putting their
+    expressions into lambda functions, where each call would compute them again."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_one")).select(*df.columns, *[F.col("_one")[k].alias(k) for k in columns])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, root) for every node of edges(u, v): root is the smallest node that u reaches.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import op1_sentencepiece, op2_langid, op3_secrets, op5_exact_dedup, op6_decontaminate, op7_simhash
+from tessera.llm import op1_sentencepiece, op2_langid, op3_secrets, op4_url_filter, op5_exact_dedup, op6_decontaminate, op7_simhash, op8_licenses
 from tessera.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,16 +38,26 @@ def op7_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece_query,
         "op2_langid": op2_langid_query,
         "op3_secrets": op3_secrets_query,
+        "op4_url_filter": op4_url_filter_query,
         "op5_exact_dedup": op5_exact_dedup_query,
         "op6_decontaminate": op6_decontaminate_query,
         "op7_simhash": op7_simhash_query,
+        "op8_licenses": op8_licenses_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": op5_exact_dedup.SQL}
+    return {
+        "op4_url_filter": op4_url_filter.sql(),
+        "op5_exact_dedup": op5_exact_dedup.SQL,
+        "op8_licenses": op8_licenses.sql(),
+    }
