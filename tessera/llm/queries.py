@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import op10_chat, op1_sentencepiece, op2_langid, op3_secrets, op4_url_filter, op5_exact_dedup, op6_decontaminate, op7_simhash, op8_licenses
+from tessera.llm import op10_chat, op1_sentencepiece, op2_langid, op3_secrets, op4_url_filter, op5_exact_dedup, op6_decontaminate, op7_simhash, op8_licenses, op9_warc
 from tessera.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op10_chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_chat.digests(op10_chat.format_conversations(op10_chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": op6_decontaminate_query,
         "op7_simhash": op7_simhash_query,
         "op8_licenses": op8_licenses_query,
+        "op9_warc": op9_warc_query,
         "op10_chat": op10_chat_query,
     }
 
@@ -65,5 +70,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_filter": op4_url_filter.sql(),
         "op5_exact_dedup": op5_exact_dedup.SQL,
         "op8_licenses": op8_licenses.sql(),
+        "op9_warc": op9_warc.SQL,
         "op10_chat": op10_chat.SQL,
     }
