@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tessera.llm import op10_chat, op1_sentencepiece, op2_langid, op3_secrets, op4_url_filter, op5_exact_dedup, op6_decontaminate, op7_simhash, op8_licenses, op9_warc
 from tessera.llm.common import table
 
@@ -62,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses_query,
         "op9_warc": op9_warc_query,
         "op10_chat": op10_chat_query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
