@@ -10,18 +10,15 @@ _TEXT = "path string, language string, content string, start_line int, end_line
 _FUNCTION = "struct<name: string, signature: string, start_line: int, end_line: int, calls: array<string>, called_by: array<string>, parameters: array<string>, return_type: string, extends: array<string>, implements: array<string>>"
 
 #: Tables by name; list columns are real arrays, JSON appears only at import and export.
-TABLES: dict[str, StructType] = {
-    name: StructType.fromDDL(ddl)
-    for name, ddl in {
-        "code_blocks": _TEXT.replace("start_line", "symbols array<string>, start_line"),
-        "text_blocks": _TEXT,
-        "document_blocks": "path string, title string, content string, context array<string>, level int, start_line int, end_line int, hash string, embedding array<float>",
-        "commit_blocks": "hash string, author string, date bigint, message string, content string, files array<string>, description string, embedding array<float>",
-        "graph_nodes": f"id string, name string, kind string, path string, description string, symbols array<string>, imports array<string>, exports array<string>, functions array<{_FUNCTION}>, size_lines int, language string, hash string, embedding array<float>",
-        "graph_edges": "source string, target string, relation_type string, description string, confidence double, weight double, provenance string",
-        "file_metadata": "path string, mtime bigint, indexed_at bigint",
-        "markers": "name string, commit_hash string, indexed_at bigint",
-    }.items()
+TABLES = {
+    "code_blocks": _TEXT.replace("start_line", "symbols array<string>, start_line"),
+    "text_blocks": _TEXT,
+    "document_blocks": "path string, title string, content string, context array<string>, level int, start_line int, end_line int, hash string, embedding array<float>",
+    "commit_blocks": "hash string, author string, date bigint, message string, content string, files array<string>, description string, embedding array<float>",
+    "graph_nodes": f"id string, name string, kind string, path string, description string, symbols array<string>, imports array<string>, exports array<string>, functions array<{_FUNCTION}>, size_lines int, language string, hash string, embedding array<float>",
+    "graph_edges": "source string, target string, relation_type string, description string, confidence double, weight double, provenance string",
+    "file_metadata": "path string, mtime bigint, indexed_at bigint",
+    "markers": "name string, commit_hash string, indexed_at bigint",
 }
 #: Values for columns that older tables lack.
 DEFAULTS = {"provenance": "extracted", "size_lines": 0, "language": "unknown"}
@@ -32,9 +29,14 @@ RELATIONS = {
 }
 
 
+def schema_of(name: str) -> StructType:
+    """The schema of a table; needs a session, which parses it."""
+    return StructType.fromDDL(TABLES[name])
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table by its schema; columns that the files lack get their default."""
-    schema = TABLES[name]
+    schema = schema_of(name)
     df = spark.read.parquet(path)
     return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(DEFAULTS.get(f.name)).cast(f.dataType).alias(f.name) for f in schema])
 
