@@ -214,10 +214,10 @@ def smart(files: DataFrame, pattern: str, constraints: dict[str, str] | None = N
         ways.append(("kind", lambda: declarations(files, item, name).select("path", F.col("start_line").alias("line"), F.lit(0).alias("column"), F.concat_ws(" ", "kind", "name").alias("text"))))
     if literals := prefilter_tokens(pattern):
         ways.append(("lexical", lambda: lexical(files, literals[0])))
-    for name, way in ways:
+    for label, way in ways:
         found = way()
         if not found.isEmpty():
-            return name, found
+            return label, found
     return "none", ways[0][1]()
 
 
