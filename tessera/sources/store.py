@@ -68,11 +68,14 @@ class Store:
         return read_table(self.spark, at, name) if at else self.spark.createDataFrame([], schema_of(name))
 
     def replace(self, name: str, df: DataFrame) -> None:
-        old, new = self.snapshot(name), f"v-{uuid.uuid4().hex}"
+        old, new = self._read(f"{self.root}/{name}/CURRENT"), f"v-{uuid.uuid4().hex}"
         df.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(name)]).write.parquet(f"{self.root}/{name}/{new}")
-        self._write(f"{self.root}/{name}/CURRENT", new)
+        # the snapshot before stays for plans that read it; the one before that goes
+        if stale := self._read(f"{self.root}/{name}/PREVIOUS"):
+            self.fs.delete(self.path(f"{self.root}/{name}/{stale}"), True)
         if old:
-            self.fs.delete(self.path(old), True)
+            self._write(f"{self.root}/{name}/PREVIOUS", old)
+        self._write(f"{self.root}/{name}/CURRENT", new)
 
     def append(self, name: str, df: DataFrame) -> None:
         """Into the current snapshot; the table comes into being with its first rows."""
