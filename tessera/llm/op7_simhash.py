@@ -220,5 +220,6 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     members = comp.join(unique, "fp")
     least = members.groupBy("root").agg(F.min("first_id").alias("least_id"))
     of_fp = comp.join(least, "root").select("fp", "least_id")
-    classes = unique.join(of_fp, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    # written, so that the last join stands alone in its stage and a fingerprint that many rows share can be split
+    classes = stored(unique.join(of_fp, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "simhash-classes", compression="zstd")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
