@@ -123,7 +123,7 @@ def search_nodes(nodes: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     t = F.col("term")
     tier = F.when(F.col("n") == t, 100).when(F.startswith("n", t), 40).when(F.contains("n", t), 20).when(F.array_contains("al", t), 30)
     tier = tier.when(F.exists("al", lambda a: F.contains(a, t)), 10).when(F.contains("p", t), 5)
-    hits = low.join(F.broadcast(asked.limit(1000)), tier.isNotNull()).groupBy("query_id", "id").agg(F.sum(tier).alias("score"))  # a search has a few words
+    hits = low.join(F.broadcast(asked), tier.isNotNull()).groupBy("query_id", "id").agg(F.sum(tier).alias("score"))  # a request has at most 10 queries of 500 bytes
     return top(hits, ["query_id"], [F.col("score").desc(), F.length("id"), F.col("id")], limit, "rank")
 
 

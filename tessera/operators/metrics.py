@@ -28,17 +28,15 @@ def _rounded(c: Column) -> Column:
 
 
 def per_query(hits: DataFrame, truth: DataFrame) -> DataFrame:
-    """Hit, MRR, NDCG (linear gain) and recall of every query that has a truth."""
-    place = F.col("rank") + 1
-    ideal = truth.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("grade").desc(), "id")))
-    ideal = ideal.groupBy("query_id").agg(F.count("*").alias("n_truth"), F.sum(F.when(F.col("n") <= 10, F.col("grade") / F.log2(F.col("n") + 1))).alias("ideal"))
-    found = hits.join(truth, ["query_id", "id"]).select("query_id", place.alias("place"), "grade")
-    own = found.groupBy("query_id").agg(
-        F.max((F.col("place") <= 5).cast("double")).alias("h5"), F.max((F.col("place") <= 10).cast("double")).alias("h10"), (1 / F.min("place")).alias("rr"),
-        F.sum(F.when(F.col("place") <= 10, F.col("grade") / F.log2(F.col("place") + 1))).alias("dcg"), F.count_if(F.col("place") <= 5).alias("r5"), F.count_if(F.col("place") <= 10).alias("r10"),
-    )
-    return ideal.join(own, "query_id", "left").select(
-        "query_id", F.coalesce("h5", F.lit(0.0)).alias("hit_at_5"), F.coalesce("h10", F.lit(0.0)).alias("hit_at_10"), _rounded(F.col("rr")).alias("mrr"),
+    """Hit, MRR, NDCG (linear gain) and recall of every query that has a truth. Each truth looks up its place, so queries without a hit stay."""
+    rows = truth.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("grade").desc(), "id")))
+    rows = rows.join(hits.select("query_id", "id", (F.col("rank") + 1).alias("place")), ["query_id", "id"], "left")
+    gain = lambda at: F.sum(F.when(F.col(at) <= 10, F.col("grade") / F.log2(F.col(at) + 1)))
+    within = lambda k: F.count_if(F.col("place") <= k)
+    own = rows.groupBy("query_id").agg(F.count("*").alias("n_truth"), gain("n").alias("ideal"), gain("place").alias("dcg"), (1 / F.min("place")).alias("rr"), within(5).alias("r5"), within(10).alias("r10"))
+    hit = lambda c: (F.col(c) > 0).cast("double")
+    return own.select(
+        "query_id", hit("r5").alias("hit_at_5"), hit("r10").alias("hit_at_10"), _rounded(F.col("rr")).alias("mrr"),
         _rounded(F.col("dcg") / F.col("ideal")).alias("ndcg_at_10"), _rounded(F.col("r5") / F.col("n_truth")).alias("recall_at_5"), _rounded(F.col("r10") / F.col("n_truth")).alias("recall_at_10"),
     )
 
