@@ -133,7 +133,7 @@ def flips() -> np.ndarray:
 
 
 def links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For whole anchors, sorted by anchor and fp: (fp, smaller fp) edges, a spanning forest of each anchor's links."""
+    """For whole anchors, sorted by anchor: (fp, earlier fp) edges, a spanning forest of each anchor's links."""
     n = len(fp)
     cut = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     size = np.diff(np.concatenate((cut, [n])))
@@ -164,12 +164,16 @@ def links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndar
         near = (np.bitwise_count(fp[i] ^ fp[j]) <= THRESHOLD) & (i != j)
         join(i[near], j[near])
         at = to
+    lo, order = -1, np.arange(0)
     for i in rows[large]:  # many members: look up each neighbour of a home fingerprint instead
-        lo, hi = first[i], first[i] + width[i]
+        if first[i] != lo:  # rows come in the order of signed longs, the search needs unsigned values
+            lo = first[i]
+            order = lo + np.argsort(fp[lo : lo + width[i]])
+            ranked = fp[order]
         probe = fp[i] ^ flips()
-        j = lo + np.searchsorted(fp[lo:hi], probe)
-        j[j == hi] = lo
-        j = j[fp[j] == probe]
+        k = np.searchsorted(ranked, probe)
+        k[k == len(ranked)] = 0
+        j = order[k[ranked[k] == probe]]
         join(np.full(len(j), i), j)
     odd = np.flatnonzero(label != np.arange(n))
     return fp[odd], fp[label[odd]]

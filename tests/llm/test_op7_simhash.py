@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tessera.llm import op7_simhash as op
@@ -80,6 +81,29 @@ def test_large_anchor_probes_like_comparison():
     assert [find(int(x)) for x in fp] == [int(fp[i]) for i in want]
 
 
+def test_large_anchor_in_signed_order():
+    """Rows come sorted as signed longs; the dense home group lies on both sides of bit 63."""
+    rng = np.random.default_rng(4)
+    centre = np.uint64(0x7FFFFFFFFFFFFFF0)
+    group = np.unique(np.concatenate([centre ^ op.flips()[rng.permutation(2080)[:300]], centre ^ np.uint64(1 << 63) ^ op.flips()[rng.permutation(2080)[:300]]]))
+    fp = np.unique(np.concatenate([group, rng.integers(0, 2**64, 5000, np.uint64)]).view(np.int64))  # signed order
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(fp), np.int64)), pa.array(fp), pa.array(np.isin(fp.view(np.uint64), group))], ["anchor", "fp", "home"])
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for b in op.compare(iter([batch])):
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, c = find(u), find(v)
+            root[max(a, c)] = min(a, c)
+    members = np.sort(group.view(np.int64)).tolist()
+    assert min(members) < 0 < max(members)
+    assert [find(x) for x in members] == [members[i] for i in brute([x % 2**64 for x in members])]
+
+
 def test_components(spark):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(120)) for _ in range(12)]
