@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and underscores, lower-cased. The document frequency of every SEED-word n-gram
-of the test items is counted over all documents. In every WINDOW consecutive n-grams of an item the rarest one
-becomes a seed (ties: the later one), so any copy of SEED + WINDOW - 1 words in a row holds a seed, however
-common the item is. Each seed hit joins a passage of a document to an item; passages of one item that overlap
-are merged. Smith-Waterman (match 2, mismatch -1, gap -1) over words then scores each passage, and the share of
+Words are runs of letters, digits and underscores, lower-cased. Every SEED-word n-gram of a test item that occurs
+in a document is a seed, so any copy that keeps SEED words in a row holds one, however common the item is and
+whatever other copies there are (the rarest n-grams would be those that an edit of this copy destroyed). Each seed
+hit joins a passage of a document to an item; passages of one item that overlap are merged. A passage that has
+fewer than SCORE of an item's words, in any order, can't reach SCORE and isn't aligned. Smith-Waterman (match 2, mismatch -1, gap -1) over words then scores each passage, and the share of
 the best possible score, 2 * words of the item, decides: at least SCORE is contamination.
 
 An item with fewer than SEED words is its own seed. The items are sent to the executors where their n-grams are
@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import extended, stored
 
-SEED, WINDOW, SCORE = 3, 4, 0.6
+SEED, SCORE = 3, 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: n-grams of items that are sent to every executor, about 200 bytes each.
 ITEM_GRAMS = 200_000
@@ -52,10 +52,9 @@ def grams(ws: list[str]) -> list[str]:
     return [" ".join(g) for g in zip(*(ws[k:] for k in range(SEED)), strict=False)]
 
 
-def pick_seeds(gs: list[str], df: dict[str, int]) -> set[int]:
-    """Positions of the rarest n-gram of every WINDOW in a row."""
-    span = range(max(1, len(gs) - WINDOW + 1))
-    return {min(range(i, min(len(gs), i + WINDOW)), key=lambda k: (df.get(gs[k], 0), -k)) for i in span} if gs else set()
+def pick_seeds(gs: list[str], present: Container[str]) -> list[int]:
+    """Positions of the n-grams that occur in a document."""
+    return [k for k, g in enumerate(gs) if g in present]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -123,7 +122,10 @@ class Index:
         out: dict[int, tuple[float, int, int]] = {}
         for i, spans in self.passages(ws, grams(ws)).items():
             item_id, item = self.items[i]
+            need = Counter(item)
             for a, b in spans:
+                if (need & Counter(w for w in ws[a:b] if w in need)).total() / len(item) < SCORE:  # no alignment has more matches
+                    continue
                 score, x, y = self.best(i, ws[a:b])
                 share = score / (MATCH * len(item))
                 if share >= SCORE and (item_id not in out or (-share, a + x) < (-out[item_id][0], out[item_id][1])):
@@ -138,26 +140,26 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
 
 
-def frequencies(docs: DataFrame, wanted: set[str]) -> dict[str, int]:
-    """Documents, of all, that hold each wanted n-gram. Each task counts its own; sums are bounded by wanted."""
+def occurring(docs: DataFrame, wanted: set[str]) -> set[str]:
+    """The wanted n-grams that a document holds. Each task finds its own; the result is bounded by wanted."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want, count = shared.value, Counter()
+        want, seen = shared.value, set()
         for b in batches:
             for t in b.column(0):
-                count.update(want.intersection(grams(words(t.as_py()))))
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["gram", "n"])
+                seen.update(want.intersection(grams(words(t.as_py()))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["gram"])
 
-    return {r.gram: r.n for r in docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    return {r.gram for r in docs.select("text").mapInArrow(run, "gram string").distinct().collect()}
 
 
-def build_index(items: list[tuple[int, str]], df: dict[str, int]) -> Index:
+def build_index(items: list[tuple[int, str]], present: Container[str]) -> Index:
     index = Index([(i, words(t)) for i, t in sorted(items)], defaultdict(list))
     for k, (_, ws) in enumerate(index.items):
         gs = grams(ws)
-        for p in pick_seeds(gs, df):
+        for p in pick_seeds(gs, present):
             index.seeds[gs[p]].append((k, p))
     index.seeds = dict(index.seeds)
     return index
@@ -180,7 +182,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, item_grams: int = ITEM_GRAMS
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > item_grams * 8:
         return _annotate_joined(docs, items)
     rows = [(r.item_id, r.text) for r in items.collect()]
-    index = build_index(rows, frequencies(docs, {g for _, t in rows for g in grams(words(t))}))
+    index = build_index(rows, occurring(docs, {g for _, t in rows for g in grams(words(t))}))
     key, shared, at = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((index.items, index.seeds)), keep.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,15 +215,15 @@ def _annotate_joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seeds = []
-            for t, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for t, present in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 gs = grams(words(t))
-                seeds.append([{"gram": gs[p], "at": p} for p in sorted(pick_seeds(gs, {c["gram"]: c["n"] or 0 for c in counts}))])
+                seeds.append([{"gram": gs[p], "at": p} for p in pick_seeds(gs, set(present))])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seeds, pa.list_(pa.struct([("gram", pa.string()), ("at", pa.int32())])))], ["item_id", "text", "seeds"])
 
     of_doc = docs.select("_row", "text").mapInArrow(doc_grams, "_row long, gram string")
     of_item = stored(items.mapInArrow(item_rows, "item_id long, text string, gram string"), "decontaminate-items")
-    df = of_doc.join(of_item.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
-    full = of_item.distinct().join(df, "gram", "left").groupBy("item_id", "text").agg(F.collect_list(F.struct("gram", "n")).alias("counts"))
+    seen = of_doc.join(of_item.select("gram").distinct(), "gram").select("gram").distinct()
+    full = of_item.distinct().join(seen, "gram").groupBy("item_id", "text").agg(F.collect_list("gram").alias("present"))
     full = stored(full.mapInArrow(seeded, "item_id long, text string, seeds array<struct<gram: string, at: int>>").withColumn("item", F.monotonically_increasing_id()), "decontaminate-seeds")
     hits = of_doc.join(full.select("item", F.explode("seeds.gram").alias("gram")), "gram").select("_row", "item").distinct()
     of_row = hits.join(full, "item").groupBy("_row").agg(F.collect_list(F.struct("item_id", "text", "seeds")).alias("_items"))

@@ -82,3 +82,33 @@ def test_empty(tables):
     df, bench, _, _ = tables
     assert op.contaminated(df.limit(0), bench).collect() == []
     assert op.contaminated(df, bench.limit(0)).collect() == []
+
+
+def test_edited_copies(spark):
+    """A copy with each 6th word replaced, alone and beside an intact one: an item's edited n-grams are its rarest."""
+    for n in (30, 60):
+        ws = [f"w{k}x" for k in range(n)]
+        edited = " ".join(f"other{k}" if k % 6 == 5 else w for k, w in enumerate(ws))
+        bench = spark.createDataFrame([(1, " ".join(ws))], "item_id long, text string")
+        for rows in ([(1, edited)], [(1, edited), (2, " ".join(ws))]):
+            docs = spark.createDataFrame([*rows, (9, "nothing to see here at all")], "doc_id long, text string")
+            for item_grams in (op.ITEM_GRAMS, 1):
+                assert sorted(r.doc_id for r in op.contaminated(docs, bench, item_grams).collect()) == [d for d, _ in rows]
+
+
+def test_random_edits(spark):
+    """Of items with 15 % of the words replaced, every copy above the limit that keeps three words in a row is found."""
+    rng = random.Random(5)
+    items, docs, want = [], [], set()
+    for k in range(120):
+        ws = [f"i{k}w{x}" for x in range(rng.choice([12, 20]))]
+        copy = [w if rng.random() >= 0.15 else f"e{x}" for x, w in enumerate(ws)]
+        items.append((k, " ".join(ws)))
+        docs.append((k, " ".join(copy)))
+        ids = {w: x for x, w in enumerate(ws)}
+        share = slow_align([ids[w] for w in ws], [ids.get(w, -1) for w in copy]) / (2 * len(ws))
+        if share >= op.SCORE and set(op.grams(ws)) & set(op.grams(copy)):
+            want.add(k)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for item_grams in (op.ITEM_GRAMS, 1):
+        assert {r.doc_id for r in op.contaminated(df, bench, item_grams).collect()} == want
