@@ -5,7 +5,8 @@ as Parquet to the shared folder and read again as the next one's docs. Extra col
 
 1. language_id: documents without a language (null texts, texts without a letter) go.
 2. exact_dedup: of equal texts (white space runs count as one space) the row with the smallest doc_id stays.
-3. near_dedup: of each group of linked fingerprints the row with the smallest doc_id stays.
+3. near_dedup: of each group of linked texts (a Jaccard similarity of 0.8 over 5-word shingles) the row with the
+   smallest doc_id stays.
 4. decontaminate: documents that hold a benchmark item go.
 5. sentencepiece: the rest is encoded; ids, n_ids and round_trip come behind the columns of documents.
 
@@ -21,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import op1_sentencepiece, op2_langid, op5_exact_dedup, op6_decontaminate, op7_simhash
+from tessera.llm import near_texts, op1_sentencepiece, op2_langid, op5_exact_dedup, op6_decontaminate
 from tessera.llm.common import stored, table
 
 
@@ -46,9 +47,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(repeats.select(*columns)).unionByName(nameless.select(*columns))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(op7_simhash.near_dedup(docs).where("doc_id <> component_id").select("doc_id"), "pipeline-near")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float = near_texts.SIMILARITY) -> DataFrame:
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    rows = named.select("doc_id", near_texts.key().alias("_key"))
+    rows = stored(rows.join(near_texts.linked(named, similarity=similarity), "_key").select("doc_id", "_key", "root"), "pipeline-linked")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("least_id"))
+    gone = stored(rows.join(least, "root").where("doc_id > least_id").select("doc_id", "_key").distinct(), "pipeline-near")
+    return docs.withColumn("_key", near_texts.key()).join(gone, ["doc_id", "_key"], "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
