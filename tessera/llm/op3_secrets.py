@@ -1,27 +1,33 @@
-"""Secret scans with structural confirmation.
+r"""Secret scans with structural confirmation.
 
 Base spans come from three patterns: assign, access, hex. The method adds spans of kinds that patterns alone
 can't tell: a candidate is reported only after its structure has been decoded and parsed.
 
 - pem: a PEM block of a private key whose base64 body parses as a key: nested DER, or an OpenSSH key container.
-- der: base64 outside a PEM block that decodes to a nested DER key.
+  Line breaks may be written as \n, as in JSON. An END line closes the nearest BEGIN line of its label before it.
+- der: base64 or base64url outside a PEM block that decodes to a nested DER key; it may be broken over lines.
 - derhex: hex that decodes to a nested DER key.
 - jwt: three base64url parts; the header is a JSON object with an alg, the claims are a JSON object, and the
-  signature is there unless alg is none.
-- ssh: base64 that decodes to an OpenSSH key container: its length fields must add up to the whole.
+  signature is there unless alg is none. A header may stand behind other characters of the alphabet: of a part the
+  first and the last place of `eyJ` are tried.
+- ssh: base64 that decodes to an OpenSSH private key container: its length fields must add up to the whole.
 
 A DER key is a SEQUENCE whose length is exactly that of the data and whose members fill it, members of members
-too, and whose members have the types of a known key form (RSA, EC, PKCS#8, or encrypted PKCS#8).
-
-Positions are code points, end exclusive; spans are sorted by start, then kind in the order of KINDS. Defined
-cases: null and empty texts have no spans (the hash is that of the empty text). Very long texts are read whole.
-Repeated rows give repeated rows. Empty table: no rows. Extra columns are ignored.
+too, and whose members have the types of a known private key form (RSA, DSA, EC, PKCS#8, or encrypted PKCS#8).
+Public keys are no secrets and aren't reported. Limits: base64 from 40 characters and hex from 48 digits (no known
+key form is shorter), members nested up to DEPTH levels (key forms need four).
+
+Positions are code points, end exclusive; spans are sorted by start, then kind in the order of KINDS. Time is
+linear in the text: every pattern reads a run once, markers are paired in one pass, each part is decoded at most
+a fixed number of times. Defined cases: null and empty texts have no spans (the hash is that of the empty text).
+Very long texts are read whole. Repeated rows give repeated rows. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -35,14 +41,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The runs of [0-9a-f]+ that have 24 or more; a run is never cut, so asking for 24 finds the same ones.
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----", re.ASCII)
+MARKER = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----", re.ASCII)
+BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,-]|\\[nr])*", re.ASCII)
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+URL64 = re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
+#: Base64 lines of one length or more, then a last line that may be shorter.
+LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+\r?\n)+[A-Za-z0-9+/]*+={0,2}")
 HEXES = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Runs that may hold tokens; they are cut at the dots.
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 #: Nesting that is followed; keys need four levels.
 DEPTH = 16
 
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
+MAGIC = b"openssh-key-v1\0"
 
 
 def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
@@ -72,7 +84,7 @@ def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE that fills data and has the members of a private or public key."""
+    """One SEQUENCE that fills data and has the members of a private key."""
     top = der_items(data)
     if not top or len(top) != 1 or top[0][0] != SEQUENCE:
         return False
@@ -81,39 +93,33 @@ def is_der_key(data: bytes) -> bool:
     algorithm = lambda body: bool((x := der_items(body)) and x[0][0] == OID)
     if len(tags) >= 9 and set(tags[:9]) == {INTEGER}:  # RSA private key
         return True
+    if tags == [INTEGER] * 6 and inner[0][1] == b"\0":  # DSA private key
+        return True
     if tags[:2] == [INTEGER, OCTETS] and inner[0][1] == b"\x01":  # EC private key
         return True
     if tags[:3] == [INTEGER, SEQUENCE, OCTETS] and algorithm(inner[1][1]):  # PKCS#8
         return True
-    return tags in ([SEQUENCE, OCTETS], [SEQUENCE, 0x03]) and algorithm(inner[0][1])  # encrypted PKCS#8, public key
+    return tags == [SEQUENCE, OCTETS] and algorithm(inner[0][1])  # encrypted PKCS#8
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key container, or an SSH public key: length-prefixed fields that add up."""
-    magic = b"openssh-key-v1\0"
-
-    def field(at: int) -> tuple[bytes, int] | None:
-        n = int.from_bytes(data[at : at + 4], "big")
-        return (data[at + 4 : at + 4 + n], at + 4 + n) if at + 4 + n <= len(data) else None
+    """An OpenSSH private key container: length-prefixed fields that add up."""
+    if not data.startswith(MAGIC):
+        return False
+    at = len(MAGIC)
 
-    at, fields = (len(magic), []) if data.startswith(magic) else (0, [])
-    if at:
-        for _ in range(3):  # cipher, kdf, kdf options
-            if not (f := field(at)):
-                return False
-            at = f[1]
-        keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-        for _ in range(keys + 1 if keys <= 64 else 0):
-            if not (f := field(at)):
+    def skip(n: int) -> bool:
+        nonlocal at
+        for _ in range(n):
+            if at + 4 > len(data):
                 return False
-            at = f[1]
-        return 0 < keys <= 64 and at == len(data)
-    while at < len(data):
-        if not (f := field(at)):
-            return False
-        fields.append(f[0])
-        at = f[1]
-    return len(fields) >= 2 and bool(re.match(rb"(ssh-|ecdsa-sha2-)[a-z0-9-]+$", fields[0]))
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at <= len(data)
+
+    if not skip(3):  # cipher, kdf, kdf options
+        return False
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    return keys > 0 and skip(keys + 1) and at == len(data)
 
 
 def unbase64(s: str, url: bool = False) -> bytes | None:
@@ -126,16 +132,51 @@ def unbase64(s: str, url: bool = False) -> bytes | None:
         return None
 
 
-def is_token(s: str) -> bool:
-    """A signed token: JSON header with an algorithm, JSON claims, a signature."""
-    head, claims, sign = s.split(".")
+def _json(part: str, needs: bytes = b"") -> object:
+    """What a part decodes to; parts without the bytes needed aren't parsed."""
+    data = unbase64(part, True)
+    if not data or needs not in data:
+        return None
     try:
-        h, c = (json.loads(unbase64(x, True) or b"") for x in (head, claims))
+        return json.loads(data)
     except (ValueError, RecursionError):
-        return False
-    if not isinstance(h, dict) or not isinstance(c, dict) or not isinstance(h.get("alg"), str):
-        return False
-    return h["alg"].lower() == "none" or len(unbase64(sign, True) or b"") >= 16
+        return None
+
+
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Signed tokens: JSON header with an algorithm, JSON claims, a signature. Leftmost first, without overlaps."""
+    for run in DOTTED.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        parts, at, free = run[0].split("."), run.start(), 0
+        for i, head in enumerate(parts[:-2]):
+            end = at + len(head) + 1 + len(parts[i + 1]) + 1 + len(parts[i + 2])
+            if i >= free and (first := head.find("eyJ")) >= 0:
+                for start in sorted({first, head.rfind("eyJ")}):
+                    h = _json(head[start:], b'"alg"')
+                    if isinstance(h, dict) and isinstance(h.get("alg"), str):
+                        signed = h["alg"].lower() == "none" or len(unbase64(parts[i + 2], True) or b"") >= 16
+                        if signed and isinstance(_json(parts[i + 1]), dict):
+                            yield at + start, end
+                            free = i + 3
+                            break
+            at += len(head) + 1
+
+
+def pem_blocks(text: str) -> Iterator[tuple[int, int, bool]]:
+    """start, end, a key? of PEM blocks of private keys."""
+    begin = None
+    for m in MARKER.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin:
+            body = text[begin.end() : m.start()]
+            if begin[2] == m[2] and BODY.fullmatch(body):
+                legacy = "Proc-Type: 4,ENCRYPTED" in body  # headers of encrypted legacy keys
+                body = re.sub(r"\\[nr]", "\n", body)
+                data = unbase64(re.sub(r"\s", "", re.sub(r"(?m)^[A-Za-z0-9-]+: [^\n]*$", "", body)))
+                yield begin.start(), m.end(), bool(data and (is_ssh_key(data) or is_der_key(data) or legacy and len(data) % 8 == 0))
+            begin = None
 
 
 def find(text: str | None) -> list[tuple[int, int, int]]:
@@ -145,24 +186,26 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    inside = []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            inside.append(m.span())
-            body = re.sub(r"[A-Za-z0-9-]+: [^\n]*\n", "", m[2])  # headers of encrypted legacy keys
-            data = unbase64(re.sub(r"\s", "", body))
-            if data and (is_ssh_key(data) or is_der_key(data) or "Proc-Type: 4,ENCRYPTED" in m[2] and len(data) % 8 == 0):
-                out.append((m.start(), 3, m.end()))
+    blocks = list(pem_blocks(text)) if "-----BEGIN " in text else []
+    out += [(a, 3, b) for a, b, key in blocks if key]
+    starts = [a for a, _, _ in blocks]
+
+    def inside(at: int) -> bool:
+        k = bisect.bisect_right(starts, at) - 1
+        return k >= 0 and at < blocks[k][1]
+
     if "eyJ" in text:
-        out += [(m.start(), 6, m.end()) for m in JWT.finditer(text) if is_token(m[0])]
-    for m in BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in inside):
-            continue
-        data = unbase64(m[0])
-        if data and data[0] == SEQUENCE and is_der_key(data):
-            out.append((m.start(), 4, m.end()))
-        elif data and (data.startswith(b"openssh-key-v1\0") or data[:3] == b"\0\0\0") and is_ssh_key(data):
-            out.append((m.start(), 7, m.end()))
+        out += [(a, 6, b) for a, b in tokens(text)]
+    seen = set()
+    for pattern in (LINES, BASE64, URL64):
+        for m in pattern.finditer(text):
+            # a key starts with a SEQUENCE, a container with its magic: nothing else needs decoding
+            if m.start() in seen or inside(m.start()) or not m[0].startswith(("M", "b3BlbnNzaC1rZXktdjE")):
+                continue
+            data = unbase64(re.sub(r"\s", "", m[0]), pattern is URL64)
+            if data and (ssh := is_ssh_key(data)) | is_der_key(data):
+                seen.add(m.start())
+                out.append((m.start(), 7 if ssh else 4, m.start() + len(m[0].rstrip("\r\n"))))
     for m in HEXES.finditer(text):
         if m[0].startswith("30") and is_der_key(bytes.fromhex(m[0])):
             out.append((m.start(), 5, m.end()))

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 from tessera.llm import op3_secrets as op
 
@@ -66,7 +67,49 @@ def test_ssh():
     key = b"openssh-key-v1\0" + f(b"none") + f(b"none") + f(b"") + (1).to_bytes(4, "big") + f(b"pub" * 10) + f(b"priv" * 20)
     assert kinds(base64.b64encode(key).decode())[0][0] == "ssh"
     assert kinds(base64.b64encode(key[:-2]).decode()) == []
-    assert kinds(base64.b64encode(f(b"ssh-ed25519") + f(b"p" * 32)).decode())[0][0] == "ssh"
+    assert kinds(base64.b64encode(key[:-2] + b"xx").decode())[0][0] == "ssh"
+    many = b"openssh-key-v1\0" + f(b"none") * 2 + f(b"") + (70).to_bytes(4, "big") + f(b"pub") * 70 + f(b"priv")
+    assert kinds(base64.b64encode(many).decode())[0][0] == "ssh"
+
+
+def test_public_keys_are_no_secrets():
+    f = lambda b: len(b).to_bytes(4, "big") + b
+    info = der(0x30, der(0x30, OID, der(5)), der(3, b"\0" + b"k" * 60))
+    assert kinds("ssh-ed25519 " + base64.b64encode(f(b"ssh-ed25519") + f(b"p" * 32)).decode()) == []
+    assert kinds(base64.b64encode(info).decode()) == kinds(info.hex()) == []
+
+
+def test_other_writings():
+    dsa = der(0x30, der(2, b"\0"), *(der(2, b"\x01" * 20) for _ in range(5)))
+    body = base64.encodebytes(dsa).decode()
+    pem = f"-----BEGIN DSA PRIVATE KEY-----\n{body}-----END DSA PRIVATE KEY-----"
+    assert kinds(pem) == [("pem", pem)]
+    escaped = pem.replace("\n", "\\n")
+    assert kinds('{"key": "' + escaped + '"}') == [("pem", escaped)]
+    assert kinds(f"-----BEGIN DSA PRIVATE KEY-----\n{pem}") == [("pem", pem)]  # the nearest BEGIN line
+    key = der(0x30, der(2, b"\x01"), der(4, b"\xfb\xff" * 40))
+    url = base64.urlsafe_b64encode(key).decode()
+    assert ("-" in url or "_" in url) and kinds(url) == [("der", url)]
+    lines = base64.encodebytes(RSA).decode().strip()
+    assert "\n" in lines and kinds(f"key:\n{lines}\n\nend") == [("der", lines)]
+    token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256"}', b'{"sub":"1"}', b"s" * 32))
+    assert kinds(f"a.b.{token}.c") == [("jwt", token)] == kinds(f"eyJ_{token}")
+
+
+def test_long_hostile_texts_take_linear_time():
+    block = f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(PKCS8).decode()}\n-----END PRIVATE KEY-----\n"
+    texts = ["eyJa", "eyJ", "eyJa.", "eyJ0.e30.", "-----BEGIN PRIVATE KEY-----\n", "-----BEGIN ", "-----BEGIN A PRIVATE KEY-----\nQUJD\n", block, "MIIB", "M" * 45 + "\n", "MIIBCgKC-_", "30820122", "token ", "token=", "password: \"", "AKIA", "a" * 39 + "!", "MA" * 30 + "\r\n", "\\n", "A " * 20]
+    for unit in texts:
+        t = unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        op.find(t)
+        assert time.process_time() - began < 2, unit
+    nested = der(0x04, b"k" * 300_000) + der(0x30) * 100_000
+    for _ in range(40):
+        nested = der(0x30, nested)
+    began = time.process_time()
+    op.find(base64.b64encode(nested).decode())
+    assert time.process_time() - began < 2
 
 
 def test_tokens():
