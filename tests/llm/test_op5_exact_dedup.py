@@ -35,3 +35,32 @@ def test_collisions_are_split_by_their_bytes(spark):
 
 def test_empty_table(spark):
     assert op.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_batches_equal_one(spark):
+    """Six batches, looked up and compacted on the way, against one; with keys that collide too."""
+    rows = ROWS + [(1000 - k, f"many {k % 17}", "x") for k in range(120)] + [(2000 + k, f"own {k}", "x") for k in range(60)]
+    for key_bytes in (32, 1):
+        index = op.Index(key_bytes)
+        for k in range(6):
+            index.add(spark.createDataFrame(rows[k::6], "doc_id long, text string, digest string"))
+            assert len(index.levels) < op.FANOUT
+        assert sorted(map(tuple, index.decisions().collect()), key=repr) == brute(rows)
+
+
+def test_filters_are_consulted(spark):
+    """Of another batch's digests only those in an older level and few others pass its filter."""
+    index = op.Index()
+    index.add(spark.range(0, 3000).selectExpr("id AS doc_id", "concat('text ', id) AS text"))
+    more = op.flush_runs(spark.range(2900, 5900).selectExpr("id AS doc_id", "concat('text ', id) AS text")).select("digest")
+    passed = op.may_hit(more, index.levels[0].filter, index.levels[0].bits).count()
+    assert 100 <= passed < 600
+
+
+def test_levels_are_merged_in_order(spark):
+    """Compaction has one exchange, by ranges: the aggregate works on what is sorted there."""
+    index = op.Index()
+    for k in range(2):
+        index.add(spark.range(0, 100).selectExpr("id AS doc_id", f"concat('text ', id * {k + 1}) AS text"))
+    plan = op.merged(index.levels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
