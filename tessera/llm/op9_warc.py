@@ -21,7 +21,8 @@ Defined cases: null html is empty, a null url has the key '' and no target. Repe
 html) are records of their own; those with the smallest page_id of a payload are all responses. A null page_id
 comes before all others in the index and is never referred to while a number has the same payload; where all
 page_ids of a payload are null its records are responses. Very long payloads are one record. Empty table: no
-archives, no rows. Extra columns are ignored.
+archives, no rows. Extra columns are ignored. page_ids are integers. A revisit whose response isn't in the archives
+raises an error.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch, stored
+from tessera.llm.common import scratch, stored, tasks
 
 REVISIT_BYTES = 100
 ARCHIVE_BYTES, BLOCK = 64 << 20, 2000
@@ -53,9 +54,17 @@ NO_ID = -(1 << 63)
 
 
 def _fs(root: str):
+    """root is a full URI, as shared() makes it, so executors open the store that the driver means."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+    return fs.FileSystem.from_uri(root)
+
+
+def shared(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the default file system, where it names none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)
 
 
 def url_key(url: str = "url") -> Column:
@@ -116,17 +125,21 @@ class Captures:
 
 
 def _planned(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, key, digest, first_id, first_url: the response that a page's payload has (null: its own)."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    big = rows.where(F.octet_length("html") >= REVISIT_BYTES)
+    """page_id, url, html, key, digest, first_id, first_url: the response that a page's payload has (null: its own).
+
+    Pages under REVISIT_BYTES can't be revisits and meet nothing. The others meet the first pages of their digests:
+    those are found without payloads and written, so a payload that many pages share can be split over tasks."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    big = rows.where(F.octet_length("html") >= REVISIT_BYTES).withColumn("digest", F.sha2("html", 256))
     first = big.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "html", url_key().alias("key"), "digest", "first_id", "first_url")
+    first = stored(first.where("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "warc-firsts", compression="zstd")
+    small = rows.where(F.octet_length("html") < REVISIT_BYTES).select("*", F.sha2("html", 256).alias("digest"), F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url"))
+    return big.join(first, "digest", "left").select(*small.columns).union(small).select("page_id", "url", "html", url_key().alias("key"), "digest", "first_id", "first_url")
 
 
 def write_archives(pages: DataFrame) -> Captures:
     spark = pages.sparkSession
-    root = scratch(spark, "warc")
+    root = shared(spark, scratch(spark, "warc"))
     fs, path = _fs(root)
     fs.create_dir(path, recursive=True)
 
@@ -264,7 +277,8 @@ def read_records(captures: Captures, places: DataFrame) -> DataFrame:
                     out.append((r.page_id, r.url, r.type, r.digest, r.refers_to, r.payload, hashlib.sha256(r.payload).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    places = places.withColumn("stretch", F.floor(F.col("offset") / STRETCH)).repartition("archive", "stretch").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
+    # a place is a few bytes and stands for a whole record: the number of tasks is given, not left to the size of the places
+    places = places.withColumn("stretch", F.floor(F.col("offset") / STRETCH)).repartition(tasks(places.sparkSession), "archive", "stretch").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
     return places.mapInArrow(run, "page_id long, url string, record_type string, header_digest string, refers_to long, payload binary, payload_digest string")
 
 
@@ -277,9 +291,17 @@ def archive_and_read(pages: DataFrame) -> DataFrame:
     bad = read.where("record_type = 'response' AND payload_digest <> header_digest").limit(1).count()
     if bad:
         raise ValueError("a payload read back has another digest than its header")
-    source = read.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("header_digest")).agg(F.first("payload_bytes").alias("payload_bytes"))
+    return resolved(read)
+
+
+def resolved(read: DataFrame) -> DataFrame:
+    """Revisits get length and digest from the response that they name; one whose response isn't there raises."""
+    # only responses that a revisit may name; written, so that one that many revisits name can be split
+    source = read.where(F.expr(f"record_type = 'response' AND page_id IS NOT NULL AND payload_bytes >= {REVISIT_BYTES}")).groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("header_digest")).agg(F.first("payload_bytes").alias("payload_bytes"))
+    source = stored(source, "warc-responses", compression="zstd")
     own = read.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    again = read.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "header_digest").join(source, ["refers_to", "header_digest"])
+    again = read.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "header_digest").join(source, ["refers_to", "header_digest"], "left")
+    again = again.withColumn("payload_bytes", F.coalesce("payload_bytes", F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("long")))
     return own.unionByName(again.select("page_id", "payload_bytes", F.col("header_digest").alias("payload_digest"), "record_type", "refers_to"))
 
 

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 
+import pytest
+
 from tessera.llm import op9_warc as op
 from tessera.llm.common import scratch
 
@@ -66,3 +68,22 @@ def test_record_round_trip(spark):
     r = op.decode_record(m)
     assert (r.page_id, r.url, r.type, r.payload, r.refers_to) == (-5, 'a"\\\r\nb', "response", b"\x00\r\n\r\nx", None)
     assert scratch(spark, "x") != scratch(spark, "x")
+
+
+def test_a_lost_response_is_an_error(spark):
+    kind = "page_id long, record_type string, header_digest string, refers_to long, payload_bytes long, payload_digest string"
+    rows = [(1, "response", "a", None, 200, "a"), (2, "revisit", "a", 1, 0, "none"), (3, "revisit", "b", 9, 0, "none")]
+    assert {r.page_id: r.payload_bytes for r in op.resolved(spark.createDataFrame(rows[:2], kind)).collect()} == {1: 200, 2: 200}
+    with pytest.raises(Exception, match="no response for the revisit of page 3"):
+        op.resolved(spark.createDataFrame(rows, kind)).collect()
+
+
+def test_small_pages_meet_nothing(spark):
+    """Payloads that can't be revisits aren't in the join, so equal ones don't gather in one task."""
+    df = spark.createDataFrame([(k, "u", "short" if k % 2 else None) for k in range(50)] + [(90, "u", "x" * 200), (91, "u", "x" * 200)], "page_id long, url string, html string")
+    rows = op._planned(df).collect()
+    assert len(rows) == 52 and {r.page_id: r.first_id for r in rows if r.first_id is not None} == {90: 90, 91: 90}
+
+
+def test_shared_paths_have_a_scheme(spark):
+    assert op.shared(spark, "/some/where") == "file:///some/where" and op.shared(spark, "file:///x") == "file:///x"
