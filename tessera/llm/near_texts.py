@@ -26,28 +26,31 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, stored
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, ROWS, STARS = 40, 5, 2
+BANDS, ROWS, STARS = 40, 5, 1
 #: Shingles that one vectorised step handles, and pairs that leave in one batch.
 STEP, PAIRS = 1024, 1 << 16
-_odd, _add = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS, 1)).astype(np.uint64)
-_odd = _odd * np.uint64(2) + np.uint64(1)
+_odd, _add = np.random.default_rng(SEED).integers(0, 2**32, (2, BANDS * ROWS, 1)).astype(np.uint32)
+_odd |= np.uint32(1)
+_mix = np.random.default_rng(SEED + 1).integers(0, 2**63, (BANDS, ROWS + 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct XXH64 values of a text's shingles."""
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    h = xxhash.xxh64_intdigest
-    return np.array(sorted({h(b" ".join(ws[i : i + words]), SEED) for i in range(max(1, len(ws) - words + 1))}), np.uint64)
+    whole, ends = b" ".join(ws), np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
+    if len(ws) <= words:
+        return np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
+    h, starts = xxhash.xxh64_intdigest, np.concatenate(([0], ends[:-words] + 1)).tolist()
+    return np.unique(np.array([h(whole[i:j], SEED) for i, j in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def buckets(values: np.ndarray) -> list[int]:
-    """One signed long for each band."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(values), STEP):
-        x = values[at : at + STEP] * _odd + _add
-        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1), out=least)
-    found = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
-    return np.array(found, np.uint64).view(np.int64).tolist()
+def buckets(values: np.ndarray) -> np.ndarray:
+    """One signed long for each band: a mix of its MinHash values, which are minima of 32-bit linear permutations."""
+    least, x = np.full(BANDS * ROWS, 2**32 - 1, np.uint32), (values >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), STEP):
+        np.minimum(least, (x[at : at + STEP] * _odd + _add).min(axis=1), out=least)
+    mixed = (least.reshape(BANDS, ROWS).astype(np.uint64) * _mix[:, :ROWS]).sum(axis=1, dtype=np.uint64) + _mix[:, ROWS]
+    return (mixed ^ mixed >> np.uint64(31)).view(np.int64)
 
 
 def key() -> Column:
@@ -104,7 +107,7 @@ def _pairs(star: int | None):
     def of(groups: Iterator[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for _, k, label in groups:
             if star is not None:
-                hub = int((k.view(np.uint64) * _odd[star]).argmin())
+                hub = int((k.view(np.uint64) * _mix[star, 0]).argmin())
                 far = k[label != label[hub]]
                 if len(far):
                     yield np.minimum(far, k[hub]), np.maximum(far, k[hub])
@@ -121,9 +124,11 @@ def linked(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     """_key, root of every text that has a near copy: root is the least key of its component."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of = [buckets(shingles(t.as_py(), words)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of, pa.list_(pa.int64()))], ["_key", "buckets"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                of = np.concatenate([buckets(shingles(t.as_py(), words)) for t in b.column(1)] or [np.zeros(0, np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(of), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))], ["bucket", "_key"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,7 +138,7 @@ def linked(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(of, pa.list_(pa.int64()))], ["_key", "shingles"])
 
     texts = docs.select(key().alias("_key"), "text")
-    rows = texts.mapInArrow(sketch, "_key long, buckets array<long>").select(F.explode("buckets").alias("bucket"), "_key")
+    rows = texts.mapInArrow(sketch, "bucket long, _key long")
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "_key").mapInArrow(_sharing, "bucket long, _key long")
     members = stored(rows, "near-members", compression="zstd")
     wanted = stored(members.select("_key").distinct(), "near-wanted")

@@ -13,10 +13,17 @@ No link is lost and no cap exists.
 
 Comparison streams the rows of a partition, sorted by anchor, in numpy; from each anchor only a spanning forest
 of its links leaves, never all pairs. An anchor with many members is compared in blocks, or by probing all
-2,080 neighbours of each home fingerprint where that is less work.
+2,080 neighbours of each home fingerprint where that is less work. An anchor with more than SPLIT members isn't
+held in one task: its home fingerprints are dealt to parts, its members are dealt to parts as well, and each pair
+of parts is compared in a task of its own.
+
+near_dedup(similarity=...) also links texts with that Jaccard similarity of 5-word shingles or more. Such pairs lie
+up to 11 bits apart, where covering would need more anchors than there are fingerprints, so near_texts proposes
+them by MinHash bands. The contract's query takes two bits alone; the pipeline's stage takes both.
 
 Defined cases: null and white-space-only texts have fingerprint zero and link like others. Repeated rows share a
-component. component_id ignores null doc_ids. Empty table: no rows. Extra columns are ignored.
+component. component_id ignores null doc_ids. doc_id keeps its type (integers or texts). Empty table: no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, stored
+from tessera.llm import near_texts
+from tessera.llm.common import components, stored, tasks
 
 WORDS, SEED, THRESHOLD = 3, 42, 2
 #: Blocks of the covering code: (length, radius, generator polynomial; 0: repetition code).
 BLOCKS = ((23, 3, 0xC75), (23, 3, 0xC75), (5, 2, 0), (5, 2, 0), (5, 2, 0), (3, 1, 0))
 #: Rows that one vectorised step handles.
 STEP = 1 << 16
+#: Members of one anchor that a task holds (17 bytes each).
+SPLIT = 1 << 21
 
 
 def fingerprint(text: str | None) -> int:
@@ -65,7 +75,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             values = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    docs = docs.select("doc_id", "text")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 @cache
@@ -179,24 +190,42 @@ def links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndar
     return fp[odd], fp[label[odd]]
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream (anchor, fp, home) sorted by anchor and fp; the last anchor of a batch waits for the next."""
+def compare(batches: Iterator[pa.RecordBatch], split: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Links of a stream (anchor, fp, home) sorted by anchor and fp; the last anchor of a batch waits for the next.
+    An anchor with more than split members isn't compared: one row (anchor, members, over = true) stands for it."""
     held: list[list[np.ndarray]] = []
+    waiting, over, seen = 0, None, 0  # rows held; an anchor that is too large and its members so far
 
     def out(a: np.ndarray, f: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         u, v = links(a, f.view(np.uint64), h)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(np.zeros(len(u), bool))], ["u", "v", "over"])
+
+    def marked() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([over], pa.int64()), pa.array([seen], pa.int64()), pa.array([True])], ["u", "v", "over"])
 
     for b in batches:
-        if not b.num_rows:
+        cols = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)]
+        if over is not None:
+            more = int(np.searchsorted(cols[0], over, "right"))
+            seen, cols = seen + more, [c[more:] for c in cols]
+            if len(cols[0]):
+                yield marked()
+                over = None
+        if not len(cols[0]):
             continue
-        held.append([b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)])
-        if held[0][0][0] == held[-1][0][-1] or sum(len(x[0]) for x in held) < STEP:
+        held.append(cols)
+        waiting += len(cols[0])
+        if waiting < STEP:
             continue
         a, f, h = (np.concatenate(x) for x in zip(*held, strict=True))
         to = int(np.searchsorted(a, a[-1], "left"))
-        yield out(a[:to], f[:to], h[:to])
-        held = [[a[to:], f[to:], h[to:]]]
+        if to:
+            yield out(a[:to], f[:to], h[:to])
+        held, waiting = [[a[to:], f[to:], h[to:]]], len(a) - to
+        if split and waiting > split:
+            over, seen, held, waiting = int(a[-1]), waiting, [], 0
+    if over is not None:
+        yield marked()
     if held:
         yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -210,20 +239,48 @@ def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part[of].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
 
 
-def near_links(unique: DataFrame) -> DataFrame:
-    """u, v: edges between distinct fingerprints whose components equal those of all links."""
-    reps = unique.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
-    return reps.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(compare, "u long, v long").distinct()
-
-
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id of every row of docs."""
+def near_links(unique: DataFrame, split: int = 0) -> DataFrame:
+    """u, v: edges between distinct fingerprints whose components equal those of all links. split: SPLIT (tests: less)."""
+    split, spark = split or SPLIT, unique.sparkSession
+    kind = "u long, v long, over boolean"
+    # a fingerprint is 8 bytes and becomes 90 rows: the number of tasks is given, not left to the size of the input
+    reps = unique.select("fp").repartition(tasks(spark), "fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
+    found = stored(reps.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(lambda bs: compare(bs, split), kind), "simhash-links", compression="zstd")
+    near = found.where("NOT over").select("u", "v")
+    large = found.where("over").select(F.col("u").alias("anchor"), F.ceil(F.col("v") * 2 / split).cast("int").alias("parts"))
+    if large.isEmpty():
+        return near.distinct()
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    rows = reps.join(large, "anchor").withColumn("part", part)
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    # task (i, j) of an anchor gets the home fingerprints of part i and all members of part j
+    homes = rows.where("home").select("anchor", F.col("part").alias("i"), F.explode(every).alias("j"), "fp", "home")
+    members = rows.select("anchor", F.explode(every).alias("i"), F.col("part").alias("j"), "fp", F.lit(False).alias("home"))
+    cells = homes.union(members).select(F.xxhash64("anchor", "i", "j").alias("cell"), "fp", "home")
+    return near.union(cells.repartition(tasks(spark), "cell").sortWithinPartitions("cell", "fp").mapInArrow(compare, kind).select("u", "v")).where("u <> v").distinct()
+
+
+def near_dedup(docs: DataFrame, similarity: float | None = None, split: int = 0) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of docs. similarity: texts with this Jaccard similarity of 5-word shingles are linked too."""
+    keys = stored(docs.select("doc_id", near_texts.key().alias("key")), "simhash-keys", compression="zstd") if similarity else None
     fps = stored(fingerprints(docs), "simhash-fps", compression="zstd")
     unique = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-unique", compression="zstd")
-    comp = components(near_links(unique)).withColumnRenamed("u", "fp")
-    members = comp.join(unique, "fp")
-    least = members.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    comp = stored(components(near_links(unique, split)).withColumnRenamed("u", "fp"), "simhash-components", compression="zstd")
+    # aggregates are written, so that the joins stand alone in their stages and a component or a fingerprint that many rows share can be split
+    least = stored(comp.join(unique, "fp").groupBy("root").agg(F.min("first_id").alias("least_id")), "simhash-least", compression="zstd")
     of_fp = comp.join(least, "root").select("fp", "least_id")
-    # written, so that the last join stands alone in its stage and a fingerprint that many rows share can be split
     classes = stored(unique.join(of_fp, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "simhash-classes", compression="zstd")
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows if keys is None else _with_near_texts(docs, keys, rows, similarity)
+
+
+def _with_near_texts(docs: DataFrame, keys: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """rows with components that the links of near texts join. Needs distinct doc_ids."""
+    rows = stored(rows, "simhash-rows", compression="zstd")
+    linked = near_texts.linked(docs, similarity=similarity)
+    own = stored(keys.join(linked.withColumnRenamed("_key", "key"), "key").select("doc_id", "root"), "simhash-near", compression="zstd")
+    own = own.join(rows, "doc_id").select("root", "component_id").distinct()
+    own = stored(own, "simhash-both", compression="zstd")
+    hub = stored(own.groupBy("root").agg(F.min("component_id").alias("hub")), "simhash-hubs", compression="zstd")
+    joined = stored(components(own.join(hub, "root").select(F.col("component_id").alias("u"), F.col("hub").alias("v"))).withColumnRenamed("root", "joined"), "simhash-joined", compression="zstd")
+    return rows.join(joined, rows["component_id"] == joined["u"], "left").select("doc_id", "fingerprint", F.coalesce("joined", "component_id").alias("component_id"))

@@ -123,3 +123,33 @@ def test_components(spark):
     assert got == want
     assert len({g[2] for g in got}) < len(rows) - 20
     assert op.near_dedup(df.limit(0)).collect() == []
+
+
+def test_large_anchors_are_split(spark):
+    """Dense clusters of fingerprints: with anchors over 16 members split, the components are the same."""
+    rng = random.Random(9)
+    fps = []
+    for _ in range(3):
+        centre = rng.getrandbits(64)
+        for _ in range(250):
+            f = centre
+            for b in rng.sample(range(64), rng.randint(0, 4)):
+                f ^= 1 << b
+            fps.append(f)
+    fps = sorted(set(fps))
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    root = brute(fps)
+    want = {}
+    for i, r in enumerate(root):
+        want.setdefault(r, set()).add(fps[i])
+    for split in (16, 1 << 20):
+        got = {}
+        for r in op.components(op.near_links(df, split)).collect():
+            got.setdefault(r.root, set()).add(r.u % (1 << 64))
+        assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_text_ids_keep_their_type(spark):
+    rows = [("b", "some text of a few words"), ("a", "some text of a few words"), (None, "")]
+    got = {r.doc_id: r.component_id for r in op.near_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": "a", "b": "a", None: None}

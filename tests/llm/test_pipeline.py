@@ -7,8 +7,8 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline as cp
+from tests.llm.test_near_texts import linked
 from tests.llm.test_op2_langid import text_of
-from tests.llm.test_op7_simhash import brute, slow_fingerprint
 
 
 @pytest.fixture(scope="module")
@@ -42,8 +42,9 @@ def test_stages(spark, made):
                 groups[re.sub(r"[\x20\x09-\x0d]+", " ", r[1] or "")].append(r)
             want = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
         elif name == "near_dedup":
-            rows = sorted((r for r in before if r[0] is not None), key=lambda r: r[0])
-            want = [r for i, (r, root) in enumerate(zip(rows, brute([slow_fingerprint(r[1]) for r in rows]))) if root == i] + [r for r in before if r[0] is None]
+            rows = sorted(before, key=lambda r: (r[0] is None, r[0] or 0))
+            want = [r for i, (r, root) in enumerate(zip(rows, linked([r[1] for r in rows]), strict=True)) if root == i]
+            assert len(want) < len(rows)
         elif name == "decontaminate":
             want = [r for r in before if r[0] != 201]
         else:
@@ -57,3 +58,30 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """One doc_id with several texts: of each text one row stays, the one with the smallest doc_id."""
+    rows = [(3, "B b"), (5, "A a"), (5, "B  b"), (7, "C c"), (None, "C c"), (None, "D d"), (None, "D d"), (8, None), (9, " ")]
+    kept = cp.exact_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(3, "B b"), (5, "A a"), (7, "C c"), (None, "D d"), (8, None), (9, " ")], key=repr)
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(3, b), (5, a), (5, b + " "), (7, a + " "), (9, b), (None, a), (None, "only here and nowhere else")]
+    kept = cp.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(3, b), (5, a), (None, "only here and nowhere else")], key=repr)
+
+
+def test_clashing_columns(spark, made):
+    names = ["_sha", "_row", "_row_", "_items", "contamination", "in_contamination", "Score", "in_score", "lang_pred", "digest", "sha", "fp", "key", "row", "order", "component_id", "least"]
+    text = spark.read.parquet(f"{made}/documents.parquet").where("doc_id = 0").first().text
+    docs = spark.createDataFrame([(k, f"{text} {'once' * (k % 2)}", "en", *[f"{n}{k}" for n in names]) for k in range(3)], ["doc_id", "text", "lang", *names])
+    want = {r.doc_id: tuple(r) for r in docs.collect()}
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, made)
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(want[r[0]] == r for r in got), name
+    op = cp.op6_decontaminate
+    bench = spark.read.parquet(f"{made}/benchmark.parquet")
+    rows = op.annotate(docs.drop("contamination"), bench, item_grams=1)
+    assert rows.columns == [*docs.drop("contamination").columns, "contamination"] and rows.count() == 3
