@@ -1,5 +1,6 @@
 """Gradients against finite differences, states against the training pass, accuracy on held-out text."""
 
+import math
 import random
 import zlib
 
@@ -49,6 +50,41 @@ def test_reading_equals_training_states(model):
         assert np.allclose(a, b.transpose(0, 2, 1), atol=1e-4)
 
 
+def plain(model, text):
+    """Mean probabilities by a recurrence over the whole text, one byte and one unit after another."""
+    p, H, raw = model.params, op.HIDDEN, text.encode()
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def states(bs, w, u):
+        h, out = [0.0] * H, []
+        for b in bs:
+            dot = lambda j, v: sum(v[i] * float(u[i, j]) for i in range(H))  # noqa: B023, E731
+            z = [sig(float(w[b, j]) + dot(j, h)) for j in range(H)]
+            r = [sig(float(w[b, H + j]) + dot(H + j, h)) for j in range(H)]
+            n = [math.tanh(float(w[b, 2 * H + j]) + r[j] * dot(2 * H + j, h)) for j in range(H)]
+            h = [(1 - z[j]) * n[j] + z[j] * h[j] for j in range(H)]
+            out.append(h)
+        return out
+
+    fore, back = states(raw, p["wf"], p["uf"]), states(raw[::-1], p["wb"], p["ub"])[::-1]
+    total = [0.0] * len(model.langs)
+    for f, b in zip(fore, back, strict=True):
+        q = [math.exp(float(p["c"][k]) + sum(v * float(p["o"][i, k]) for i, v in enumerate([*f, *b]))) for k in range(len(total))]
+        total = [t + x / sum(q) for t, x in zip(total, q, strict=True)]
+    return [t / len(raw) for t in total]
+
+
+def test_states_and_pooling_against_a_plain_recurrence(model):
+    """Short texts exactly; longer ones within what the gates keep beyond the warm-up."""
+    rng = random.Random(6)
+    texts = ["a", "ü", text_of("de", rng, 20)[: op.BLOCK - 20], text_of("fr", rng, 200), text_of("es", rng, 150) + text_of("en", rng, 150), "12 x"]
+    for t, lang, score in zip(texts, *op.predict(model, texts), strict=True):
+        want = plain(model, t)
+        best = max(want)
+        assert abs(score - best) < (1e-4 if len(t.encode()) <= op.BLOCK else 2e-3), t
+        assert lang == model.langs[want.index(best)]
+
+
 def test_every_position_counts(model):
     """Pooled probabilities are the means over positions, however texts are batched."""
     rng = random.Random(2)
