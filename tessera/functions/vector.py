@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +32,27 @@ def hashed_bag(tokens: Column, size: int = 64) -> Column:
     bucket = F.transform(tokens, lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 4), 16, 10).cast("int") % size)
     ones = F.transform(F.array(bucket), lambda b: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(b, lambda x: x == k)).cast("double")))
     return F.element_at(ones, 1)
+
+
+def hashed_bags(df: DataFrame, key: str, text: str = "text", size: int = 64, memo: int = 500_000) -> DataFrame:
+    """id, embedding: hashed_bag of the words of every text in one pass; a worker remembers the buckets of up to `memo` words."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = re.compile(r"\w+").findall, {}
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                out = np.zeros((part.num_rows, size))
+                for r, t in enumerate(part.column(1).to_pylist()):
+                    ws = words((t or "").lower())
+                    for w in ws:
+                        if w not in known:
+                            if len(known) >= memo:
+                                known.clear()
+                            known[w] = int(hashlib.sha256(w.encode("utf-8", "surrogatepass")).hexdigest()[:4], 16) % size
+                        out[r, known[w]] += 1
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, size, dtype=np.int32)), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "embedding"])
+
+    return df.select(key, text).mapInArrow(run, f"id {kind}, embedding array<double>")

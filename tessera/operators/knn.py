@@ -1,7 +1,7 @@
 """Exact nearest neighbours: a stated query set against all rows, in blocks.
 
-Queries travel in blocks of at most BLOCK vectors, so what is sent to the executors is bounded; each task keeps
-its k best rows of every query of the block, and only those meet in the final top-k.
+Queries travel in lots of nearest.PASS vectors, so what is sent to the executors is bounded; each task reads its rows
+once, compares them with a lot in blocks, keeps the k best of every query, and only those meet in the final top-k.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.rows import top
-
-BLOCK = 2048
+from tessera.operators.nearest import BLOCK, Best, lots, passes
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -37,10 +36,7 @@ def knn(base: DataFrame, queries: DataFrame, k: int, base_id: str = "id", query_
     rows = base.select(F.col(base_id).cast("long").alias("id"), F.col(vector).alias("embedding"))
     out = None
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("embedding")).where(F.col("embedding").isNotNull())
-    blocks = -(-asked.count() // BLOCK)
-    for n in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        got = part.collect()  # about BLOCK vectors
+    for got in passes(asked, "query_id"):
         for dim in sorted({len(r.embedding) for r in got}):
             own = [r for r in got if len(r.embedding) == dim]
             ids, unit = np.array([r.query_id for r in own], np.int64), _unit(np.array([list(r.embedding) for r in own], np.float64).reshape(len(own), dim))
@@ -48,14 +44,13 @@ def knn(base: DataFrame, queries: DataFrame, k: int, base_id: str = "id", query_
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
                 ids, unit = shared.value
-                best_d, best_i = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
-                for b in batches:
-                    d = np.round(1 - unit @ _unit(_matrix(b.column(1), dim)).T, digits)
-                    best_d, best_i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(b.column(0).to_numpy(), d.shape)])
-                    order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-                w = best_d.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, w)), pa.array(best_i.ravel()), pa.array(best_d.ravel() + 0.0)], ["query_id", "id", "distance"])
+                best = Best(len(ids), k)
+                for b in lots(batches):
+                    rows, of = _unit(_matrix(b.column(1), dim)).T, b.column(0).to_numpy()
+                    for at in range(0, len(ids), BLOCK):
+                        best.add(at, np.round(1 - unit[at : at + BLOCK] @ rows, digits), of)
+                q, i, d = best.rows(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(d + 0.0)], ["query_id", "id", "distance"])
 
             found = rows.mapInArrow(run, "query_id long, id long, distance double")
             out = found if out is None else out.unionByName(found)

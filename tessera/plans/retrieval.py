@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import config
-from tessera.functions.rows import computed, tokens, top
-from tessera.functions.vector import hashed_bag
+from tessera.functions.rows import top
+from tessera.functions.vector import hashed_bags
 from tessera.operators import fusion, metrics
 from tessera.operators.bm25 import bm25, bm25_sql
 from tessera.operators.knn import knn
@@ -57,8 +57,7 @@ def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bags(df: DataFrame, id_col: str) -> DataFrame:
-    rows = computed(df.select(F.col(id_col).alias("id"), "text"), words=tokens("text"))
-    return rows.select("id", hashed_bag(F.col("words")).alias("embedding"))
+    return hashed_bags(df, id_col)
 
 
 def _bag_sql(name: str, source: str, key: str) -> str:
