@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 #: Languages by file extension.
 LANGUAGES = {
-    "rs": "rust", "py": "python", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "cpp", "h": "cpp",
-    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "php": "php", "sh": "bash", "bash": "bash", "rb": "ruby", "lua": "lua", "json": "json", "svelte": "svelte", "swift": "swift",
-    "css": "css", "scss": "css", "sass": "css", "md": "markdown", "markdown": "markdown",
+    "rs": "rust", "py": "python", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c++": "cpp", "c": "cpp", "h": "cpp", "hpp": "cpp", "hxx": "cpp", "cppm": "cpp", "ixx": "cpp", "mxx": "cpp", "ccm": "cpp", "cxxm": "cpp",
+    "php": "php", "sh": "bash", "bash": "bash", "rb": "ruby", "lua": "lua", "json": "json", "swift": "swift", "svelte": "svelte", "css": "css", "scss": "css", "sass": "css", "md": "markdown", "markdown": "markdown",
 }
 #: Plain-text files that are chunked as text.
-TEXT_NAMES = "txt log xml html htm toml yaml yml ini cfg conf config properties csv tsv sql dockerfile makefile cmake license changelog authors gitignore env rst adoc org tex bib patch".split()
+TEXT_NAMES = "txt md markdown rst org adoc asciidoc readme changelog license contributors authors notes yaml yml toml ini conf cfg properties env xml html htm sql csv tsv log dockerfile makefile".split()
 #: Words that are never technical terms.
-PLAIN_WORDS = "function class method struct interface module package import export public private static return value string number".split()
+PLAIN_WORDS = (
+    "about after again below could every first found great house large learn never other place plant point right small sound spell still study their there these thing think three water where which world would write"
+).split()
 
 
 def block_hash(*parts: Column | str) -> Column:
@@ -24,23 +26,23 @@ def block_hash(*parts: Column | str) -> Column:
     return F.sha2(F.concat(*[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]), 256)
 
 
-def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
+def extension(path: Column, lower: bool = True) -> Column:
+    found = F.regexp_extract(path, r"\.([^./\\]+)$", 1)
+    return F.lower(found) if lower else found
 
 
 def language(path: Column, overrides: dict[str, str] | None = None) -> Column:
-    """Project overrides first (`*.ext` or `ext`), then the built-in table, null where neither knows."""
-    ext = extension(path)
+    """Project overrides first (`*.ext` or `ext`), then the built-in table, null where neither knows. Case counts."""
+    ext = extension(path, lower=False)
     known = LANGUAGES | {k.removeprefix("*").removeprefix("."): v for k, v in (overrides or {}).items()}
     table = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])
     return F.element_at(table, ext)
 
 
 def is_text_name(path: Column) -> Column:
-    """Allowed by extension, bare file name or `name.` prefix."""
+    """By extension; names without one by themselves. Case doesn't count."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
-    prefix = reduce(lambda a, b: a | b, [name.startswith(n + ".") for n in TEXT_NAMES])
-    return extension(path).isin(TEXT_NAMES) | name.isin(TEXT_NAMES) | prefix
+    return F.when(extension(path) != "", extension(path).isin(TEXT_NAMES)).otherwise(name.isin(TEXT_NAMES))
 
 
 def looks_like_text(content: Column) -> Column:
@@ -134,6 +136,37 @@ def preview(content: Column, head: int = 4, tail: int = 3, whole: int = 10, firs
     return F.array_join(F.when(n <= whole, numbered).otherwise(cut), "\n")
 
 
+def doc_preview(content: Column, first_line: Column | int = 1, head: int = 4, tail: int = 3, whole: int = 10) -> Column:
+    """As preview(), from the first line that isn't blank; what is left between head and tail counts from there."""
+    lines = F.split(content, "\n")
+    numbered = F.transform(lines, lambda x, i: F.concat(i + first_line, F.lit(": "), x))
+    n = F.size(lines)
+    filled = F.array_position(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != ""), True).cast("int")
+    start = F.greatest(filled - 1, F.lit(0))
+    left = n - (start + head)
+    front = F.slice(numbered, start + 1, F.lit(head))
+    rest = F.when(left > tail, F.concat(F.array(F.concat(F.lit("... ("), left, F.lit(" more lines)"))), F.slice(numbered, F.greatest(n - (tail - 1), F.lit(1)), F.lit(tail))))
+    rest = rest.when(left > 0, F.slice(numbered, start + head + 1, F.greatest(left, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.when(n <= whole, numbered).otherwise(F.concat(front, rest)), "\n")
+
+
+def simple_description(name: Column, lang: Column, symbols: Column, lines: Column) -> Column:
+    """What a file holds by the prefixes of its symbols: functions and methods, classes and structs."""
+    count = lambda *parts: F.size(F.filter(symbols, lambda s: reduce(lambda a, b: a | b, [F.contains(s, F.lit(p)) for p in parts])))
+    functions, classes = count("function_", "method_"), count("class_", "struct_")
+    some = lambda n, what: F.when(n > 0, F.concat(n, F.lit(what)))
+    parts = F.concat_ws(" and ", some(functions, " functions"), some(classes, " classes"))
+    return F.concat(name, F.lit(" "), lang, F.lit(" file"), F.when(parts != "", F.concat(F.lit(" with "), parts)).otherwise(""), F.lit(" ("), lines, F.lit(" lines)"))
+
+
+def next_version(version: Column, breaking: Column, feat: Column) -> Column:
+    """As bump(), for columns; null where a version hasn't three numbers in front."""
+    core = F.regexp_replace(version, r"[-+].*$", "")
+    part = lambda k: F.regexp_extract(core, r"^(\d+)\.(\d+)\.(\d+)$", k).cast("int")
+    up = F.when(breaking, F.concat(part(1) + 1, F.lit(".0.0"))).when(feat, F.concat_ws(".", part(1), part(2) + 1, F.lit("0"))).otherwise(F.concat_ws(".", part(1), part(2), part(3) + 1))
+    return F.when(core.rlike(r"^\d+\.\d+\.\d+$"), up)
+
+
 def conventional(message: Column) -> dict[str, Column]:
     """type, scope, breaking, description of the first line; without the form the type comes from the first word."""
     line = F.element_at(F.split(message, "\n"), 1)
@@ -186,8 +219,9 @@ def callee(text: Column) -> tuple[Column, Column]:
 
 
 def is_technical(word: Column) -> Column:
-    """Of lower-case words: not a plain one, and with an underscore or longer than six."""
-    return ~word.isin(PLAIN_WORDS) & (F.contains(word, F.lit("_")) | (F.length(word) > 6))
+    """Without what stands around letters and digits, in lower case: not a plain word, and with an underscore or longer than six bytes."""
+    bare = F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return ~bare.isin(PLAIN_WORDS) & (F.contains(bare, F.lit("_")) | (F.octet_length(bare) > 6))
 
 
 def prefilter_tokens(pattern: str) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,13 +12,29 @@ from tessera import config
 from tessera.functions.rows import top
 
 #: Words that a lexical node search leaves out.
-STOP_WORDS = "a an and are by code does for from how in is of on or that the to what where with".split()
+STOP_WORDS = "a an and are by calls does for from how in is of or the to uses what where who".split()
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Iterations cut their lineage with checkpoint(); the folder is the session's, or a new one where it has none."""
+    """Iterations cut their lineage with checkpoint() in the folder of spark.checkpoint.dir. Where it is unset, a new
+    local folder serves a local master; any other master raises, since its executors wouldn't see it."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="tessera-"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as files in the checkpoint folder: unlike an aggregate or a checkpoint, a plain scan gives a join two shuffles
+    that adaptive execution can split."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def edge_dedup(edges: DataFrame) -> DataFrame:
@@ -96,9 +113,9 @@ def weak_components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> Dat
             break
         before = state
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        cur = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = cur.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))  # a hub's edges can be split then
+        cur = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().checkpoint()
+        least = written(cur.groupBy("u").agg(F.min("v").alias("m")))
         cur = cur.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         cur = cur.where("u <> v").distinct().checkpoint()
     else:
@@ -107,6 +124,20 @@ def weak_components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> Dat
     return nodes.select("id").distinct().join(root.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
+def needs_indexing(nodes: DataFrame | None, edges: DataFrame | None) -> bool:
+    """A graph table is missing or empty."""
+    return nodes is None or edges is None or nodes.isEmpty() or edges.isEmpty()
+
+
+def page_of(nodes: DataFrame, offset: int, limit: int, order: str = "id") -> DataFrame:
+    """One page of a table in the order of a unique column."""
+    return nodes.orderBy(order).offset(offset).limit(limit)
+
+
+def hit_rate(hits: Column, misses: Column) -> Column:
+    return F.when(hits + misses > 0, hits / (hits + misses)).otherwise(0.0)
+
+
 def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """section (node or edge), name, n; name null: the total."""
     part = lambda df, col, section: df.rollup(col).agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), F.col(col).alias("name"), "n")

@@ -77,8 +77,8 @@ def graph_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.overview(all_nodes(spark, sf_dir), tree_edges(spark, sf_dir))
 
 
-_SEARCH = ["green", "almond", "the", "customer#000000012", "nation", "supplier", "asia"]
-_STOP = ", ".join(f"'{w}'" for w in graph.STOP_WORDS)
+_SEARCH = ["green", "almond", "the", "customer#000000012", "nation", "supplier", "asia", "uses", "on", "who"]
+_STOP = "'a', 'an', 'and', 'are', 'by', 'calls', 'does', 'for', 'from', 'how', 'in', 'is', 'of', 'or', 'the', 'to', 'uses', 'what', 'where', 'who'"
 
 
 @query(f"""WITH {_NODES_SQL}, low AS (SELECT id, lower(name) AS n, string_split(lower(name), ' ') AS al, lower(id || ' ' || kind) AS p FROM nodes),
@@ -153,12 +153,11 @@ def _dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.lit("calls").alias("relation_type"), F.round(1 - F.col("l_discount"), 2).alias("confidence"), F.col("l_quantity").alias("weight"), desc.alias("description"))
 
 
-@query(f"WITH {_DUP_SQL} SELECT * FROM d WHERE source IN (SELECT p_partkey FROM part WHERE p_size > 25) AND target IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+@query(f"WITH {_DUP_SQL} SELECT * REPLACE ('p' || source AS source, 's' || target AS target) FROM d WHERE source IN (SELECT p_partkey FROM part WHERE p_size > 25) AND target IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def dangling_edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("source"))
-    sup = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("target"))
-    d = _dup(spark, sf_dir)
-    return d.join(parts, "source", "left_semi").join(sup, "target", "left_semi").select(*d.columns)
+    ends = table(spark, sf_dir, "part").where("p_size > 25").select(F.concat(F.lit("p"), "p_partkey").alias("id")).unionByName(table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id")))
+    d = _dup(spark, sf_dir).withColumns({"source": F.concat(F.lit("p"), "source"), "target": F.concat(F.lit("s"), "target")})
+    return graph.without_dangling(d, ends)
 
 
 @query("""WITH live AS (SELECT 'c:' || c_custkey AS id, 'symbol' AS kind, 'live' AS description FROM customer),

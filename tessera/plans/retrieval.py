@@ -72,11 +72,15 @@ vk AS (SELECT query_id, id, round(1 - list_cosine_similarity(qb.v, db.v), 6) AS
 vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank FROM vk QUALIFY rank < 10)"""
 
 
-def _fuse_sql(wv: str, wk: str) -> str:
+def _fused(wv: str, wk: str) -> str:
     return f"""
 parts AS (SELECT query_id, id, {wv} / (60 + rank) AS p FROM vec JOIN qs USING (query_id) UNION ALL SELECT query_id, id, {wk} / (60 + rank) FROM bm JOIN qs USING (query_id)),
-fs AS (SELECT query_id, id, round(sum(p), 9) AS fused FROM parts GROUP BY ALL)
-SELECT query_id, id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) - 1 AS rank FROM fs QUALIFY rank < 10"""
+fs AS (SELECT query_id, id, round(sum(p), 9) AS fused FROM parts GROUP BY ALL),
+fused AS (SELECT query_id, id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) - 1 AS rank FROM fs QUALIFY rank < 10)"""
+
+
+def _fuse_sql(wv: str, wk: str) -> str:
+    return f"{_fused(wv, wk)} SELECT * FROM fused"
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -89,6 +93,15 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.hybrid(*_lists(spark, sf_dir))
 
 
+@query(f"WITH {_BM25}, {_BAG_KNN}, {_fused('0.3', '0.7')} SELECT fused.*, distance FROM fused JOIN vk USING (query_id, id) WHERE distance <= 0.4")
+def hybrid_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword-only hits get their real distance, so the threshold holds for them as well."""
+    docs, asked = table(spark, sf_dir, "documents"), _bench(spark, sf_dir)
+    base, own = _bags(docs, "doc_id"), _bags(asked, "query_id").withColumnRenamed("id", "query_id")
+    fused = fusion.hybrid(knn(base, own, 10), bm25(docs, asked), weights=(0.3, 0.7))
+    return fusion.with_distances(fused, own, base, 0.4)
+
+
 _TILT = r"(length(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) <= 3 AND (regexp_matches(text, '[_:(.<>]') OR (regexp_matches(text, '\p{Lu}') AND regexp_matches(text, '\p{Ll}'))))"
 
 

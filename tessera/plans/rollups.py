@@ -87,11 +87,11 @@ def parent_child_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.parent_child(whole.unionByName(head).distinct())
 
 
-@query("""WITH o AS (SELECT user_id AS path, event_id, floor(epoch(ts))::bigint AS "at", 0 AS new FROM events WHERE event_id % 3 = 0 UNION ALL SELECT user_id, event_id, floor(epoch(ts))::bigint, 1 FROM events WHERE event_id % 3 = 1)
+@query("""WITH o AS (SELECT user_id AS path, event_id, floor(epoch(ts))::bigint AS "at", 0 AS new FROM events WHERE event_id % 3 = 0 UNION ALL SELECT user_id, event_id, floor(epoch(ts))::bigint, 1 FROM events WHERE event_id % 3 > 0)
 SELECT path, max("at") AS "at" FROM o GROUP BY path""")
 def upsert_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") % 3).alias("m"))
-    return incremental.upsert(e.where("m = 0").drop("m"), e.where("m = 1").drop("m"), ["path"], "at")
+    return incremental.upsert(e.where("m = 0").drop("m"), e.where("m > 0").drop("m"), ["path"], "at")
 
 
 @query("SELECT source, doc_id FROM documents QUALIFY sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) <= 40000")

@@ -57,9 +57,8 @@ def retrieve(blocks: DataFrame, request: Request, budget: int) -> DataFrame:
     wv, wk = fusion.auto_weights(F.col("text")) if request.weights is None else map(F.lit, request.weights)
     text = asked.select("query_id", "text")
     fused = fusion.hybrid(vec.join(text, "query_id"), key.join(text, "query_id"), budget, (wv, wk))
-    out = fused.join(vec.select("query_id", "id", "distance"), ["query_id", "id"], "left")
-    if request.threshold is not None:
-        out = out.where(F.col("distance").isNull() | (F.col("distance") <= 1 - request.threshold))
+    stored = rows.select(F.col("block").alias("id"), "embedding")
+    out = fusion.with_distances(fused, asked, stored, None if request.threshold is None else 1 - request.threshold)
     return out.join(rows.select(F.col("block").alias("id"), "hash"), "id").select("query_id", "hash", "rank", "distance")
 
 

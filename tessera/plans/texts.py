@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import text as T
-from tessera.functions.rows import computed, top
-from tessera.operators import chunks, incremental
+from tessera.functions.rows import computed
+from tessera.operators import chunks, incremental, structural
 from tessera.plans.registry import query, table
 
 
@@ -40,13 +40,13 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, length(string_split(text, chr(10))) + 1)) AS line_no FROM documents)
-SELECT doc_id, line_no, line, strlen(substr(line, 1, instr(line, 'the') - 1))::int AS byte_col FROM l WHERE contains(line, 'the') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 20""")
+@query("""WITH l AS (SELECT 'd' || lpad(doc_id::varchar, 9, '0') AS path, unnest(string_split(text, chr(10))) AS text, unnest(range(1, length(string_split(text, chr(10))) + 1))::int AS line FROM documents),
+c AS (SELECT path, line, strlen(substr(text, 1, instr(text, 'the') - 1))::int AS "column", text FROM l WHERE contains(text, 'the') QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <= 20)
+SELECT * FROM c ORDER BY path, line, "column" LIMIT 200""")
 def lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that hold a token with the first byte column, 20 a file."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.contains("line", F.lit("the")))
-    lines = lines.select("doc_id", (F.col("line_no") + 1).alias("line_no"), "line", F.octet_length(F.substring_index("line", "the", 1)).alias("byte_col"))
-    return top(lines, ["doc_id"], [F.col("line_no")], 20)
+    """Lines that hold a token with the byte column of its first place: 20 a file and 200 in all, as the operator has it."""
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.lpad("doc_id", 9, "0")).alias("path"), F.col("text").alias("content"))
+    return structural.lexical(files, "the")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'thin') AND contains(text, 'the') AND contains(text, 'and')")
@@ -85,13 +85,13 @@ def text_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.looks_like_text(F.col("text")).alias("is_text"))
 
 
-_EXTS = ["rs", "py", "md", "toml", "xyz", "h", "TS"]
+_EXTS = ["rs", "py", "md", "toml", "xyz", "h", "TS", "c++", "ixx", "gitignore", "NOTES", "bib", "lua"]
 _PATH = "'/src/' || source || CASE WHEN doc_id % 5 = 0 THEN '/tests/' ELSE '/' END || doc_id || '.' || [" + ", ".join(f"'{e}'" for e in _EXTS) + f"][doc_id % {len(_EXTS)} + 1]"
 
 
-@query(f"""WITH p AS (SELECT doc_id, {_PATH} AS path FROM documents), m AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in (T.LANGUAGES | {"xyz": "python"}).items())}) AS m(ext, language))
-SELECT doc_id, path, language, CASE WHEN contains(path, '/tests/') THEN 'test_file' WHEN path LIKE '%.md' THEN 'documentation' ELSE 'source_file' END AS kind, lower(regexp_extract(path, '[.]([^.]+)$', 1)) IN ('toml') AS is_text,
-  regexp_matches(path, '^/src/[^/]*/tests/.*[.][rp][^/]$') AS in_glob FROM p LEFT JOIN m ON ext = lower(regexp_extract(path, '[.]([^.]+)$', 1))""")
+@query(f"""WITH p AS (SELECT doc_id, {_PATH} AS path FROM documents), m AS (SELECT * FROM (VALUES ('rs', 'rust'), ('py', 'python'), ('md', 'markdown'), ('h', 'cpp'), ('xyz', 'python'), ('c++', 'cpp'), ('ixx', 'cpp'), ('lua', 'lua')) AS m(ext, language))
+SELECT doc_id, path, language, CASE WHEN contains(path, '/tests/') THEN 'test_file' WHEN path LIKE '%.md' THEN 'documentation' ELSE 'source_file' END AS kind, lower(regexp_extract(path, '[.]([^.]+)$', 1)) IN ('toml', 'md', 'notes') AS is_text,
+  regexp_matches(path, '^/src/[^/]*/tests/.*[.][rp][^/]$') AS in_glob FROM p LEFT JOIN m ON ext = regexp_extract(path, '[.]([^.]+)$', 1)""")
 def file_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language with a project override, file kind, text allow-list and a glob."""
     middle = F.when(F.col("doc_id") % 5 == 0, "/tests/").otherwise("/")
@@ -178,13 +178,16 @@ def distinct_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.distinct_paths([table(spark, sf_dir, t).select(F.col(c).alias("path")) for t, c in names])
 
 
-@query("""WITH w AS (SELECT DISTINCT lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents)
-SELECT lang, word FROM w WHERE length(word) > 6 OR contains(word, '_')""".replace("\\\\", "\\"))
+@query(r"""WITH w AS (SELECT DISTINCT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents UNION SELECT lang, unnest(['another', 'thought', 'learn_it', 'through', '__where__', 'plants', 'a_b', '(another)']) FROM documents),
+b AS (SELECT lang, word, regexp_replace(word, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS bare FROM w)
+SELECT lang, word FROM b WHERE (strlen(bare) > 6 OR contains(bare, '_')) AND bare NOT IN ('about', 'after', 'again', 'below', 'could', 'every', 'first', 'found', 'great', 'house', 'large', 'learn', 'never', 'other', 'place', 'plant', 'point', 'right', 'small', 'sound', 'spell', 'still', 'study', 'their', 'there', 'these', 'thing', 'think', 'three', 'water', 'where', 'which', 'world', 'would', 'write')""")
 def technical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.functions.rows import tokens
 
-    words = computed(table(spark, sf_dir, "documents").select("lang", "text"), w=tokens("text")).select("lang", F.explode("w").alias("word")).distinct()
-    return words.where(T.is_technical(F.col("word")) | words.word.isin(T.PLAIN_WORDS) & (F.length("word") > 6))
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    more = docs.select("lang", F.explode(F.array(*[F.lit(w) for w in ("another", "thought", "learn_it", "through", "__where__", "plants", "a_b", "(another)")])).alias("word"))
+    words = computed(docs, w=tokens("text")).select("lang", F.explode("w").alias("word")).unionByName(more).distinct()
+    return words.where(T.is_technical(F.col("word")))
 
 
 @query()

@@ -16,7 +16,7 @@ from tessera.functions.text import language
 
 IGNORE_FILES = (".gitignore", ".noindex")
 #: Subfolders beside the root in which a .noindex file counts.
-NOINDEX_DIRS = ("src", "lib", "app", "apps", "packages", "crates", "tests", "test", "docs", "doc", "examples", "scripts", "tools", "vendor")
+NOINDEX_DIRS = ("src", "lib", "tests", "test", "docs", "doc", "examples", "example", "target", "build", "dist", "node_modules", ".git", "vendor")
 
 
 class Ignore:
