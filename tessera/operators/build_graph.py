@@ -76,24 +76,28 @@ def _edges(df: DataFrame, kind: str | Column, weight: float, confidence: Column
 def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, name, kind, path, start_line, end_line, language; edges) of files(path, content, language)."""
     found = facts(files).persist()
-    symbols = graph.symbol_ids(found.where("fact = 'symbol'").select("path", F.col("b").alias("owner"), "name", F.col("line").alias("start_line"), "end_line", F.col("a").alias("kind"), "language"))
+    symbols = graph.symbol_ids(found.where("fact = 'symbol'").select("path", F.col("b").alias("owner"), "name", F.col("line").alias("start_line"), "end_line", F.col("a").alias("kind"), "language")).persist()
     nodes = symbols.select("id", "name", "kind", "path", "start_line", "end_line", "language")
     nodes = nodes.unionByName(files.select(F.col("path").alias("id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("file").alias("kind"), "path", F.lit(0).alias("start_line"), F.size(F.split("content", "\n")).alias("end_line"), "language"))
-    linked = resolve_imports(found.where("fact = 'import'").select("path", "language", "name").distinct(), files)
+    linked = resolve_imports(found.where("fact = 'import'").select("path", "language", "name").distinct(), files).persist()
     edges = [graph.contains_edges(symbols), _edges(linked.where("path <> target").select(F.col("path").alias("source"), "target"), "imports", 0.7)]
-    imported = linked.select("path", F.col("target").alias("imported")).distinct()
-    decls = symbols.select("id", "path", "name")
-    for fact, kind, ambiguous, weight in (("call", "calls", False, 0.8), ("extends", "extends", True, 1.0), ("implements", "implements", True, 1.0)):
-        rows = found.where(F.col("fact") == fact).select("path", "line", "name", "a")
-        # a bound name is looked up by what it stands for
-        bound = found.where("fact = 'binding' AND a IS NOT NULL").select("path", "name", F.col("a").alias("real")).dropDuplicates(["path", "name"])
-        rows = rows.join(bound, ["path", "name"], "left").withColumn("name", F.coalesce("real", "name")).withColumn("use_id", F.xxhash64("path", "line", "name", "a"))
-        ranges = symbols.select("path", F.col("id").alias("range_id"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
-        inside = resolve.smallest_enclosing(rows.select("path", F.col("use_id").alias("point_id"), F.col("line").alias("at")).distinct(), ranges, "path", 64)
-        to = resolve.scoped(rows.select("use_id", "path", "name").distinct(), decls, imported, ambiguous)
-        own = rows.select("use_id", "path").distinct().join(to, "use_id").join(inside.withColumnRenamed("point_id", "use_id"), "use_id", "left").withColumn("source", F.coalesce("range_id", "path"))
-        cap = F.least(F.col("confidence"), F.lit(0.9)) if kind == "calls" else F.col("confidence")
-        edges.append(_edges(own, kind, weight, F.when(F.col("source") == F.col("target"), 1.0).otherwise(cap), F.col("provenance")))
+    imported = linked.select("path", F.col("target").alias("imported")).distinct().persist()
+    decls = symbols.select("id", "path", "owner", "name")
+    ranges = symbols.select("path", F.col("id").alias("range_id"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    owners = symbols.select(F.col("id").alias("range_id"), F.when(F.col("kind").isin("class", "struct", "interface", "trait", "enum", "impl"), F.col("name")).otherwise(F.col("owner")).alias("owner"))
+    bindings = found.where("fact = 'binding'").select("path", F.col("name").alias("local"), F.col("a").alias("real"), F.col("b").alias("module"))
+    bindings = bindings.join(linked.select("path", F.col("name").alias("module"), F.col("target").alias("bound")), ["path", "module"]).select("path", "local", "real", "bound").persist()
+    for facts_, weight in ((["call"], 0.8), (["extends", "implements"], 1.0)):
+        rows = found.where(F.col("fact").isin(facts_)).select("path", "line", "name", F.col("a").alias("qualifier"), "fact").distinct().withColumn("use_id", F.xxhash64("path", "line", "name", "qualifier", "fact"))
+        inside = resolve.smallest_enclosing(rows.select("path", F.col("use_id").alias("point_id"), F.col("line").alias("at")), ranges, "path", 64)
+        rows = rows.join(inside.withColumnRenamed("point_id", "use_id"), "use_id", "left").join(owners, "range_id", "left").persist()
+        if facts_ == ["call"]:
+            to = resolve.calls(rows, decls, linked.select("path", F.col("name").alias("raw"), F.col("target").alias("imported")), bindings)
+        else:  # a bound name is looked up by what it stands for
+            real = bindings.where("real IS NOT NULL").select("path", F.col("local").alias("name"), "real").dropDuplicates(["path", "name"])
+            to = resolve.scoped(rows.join(real, ["path", "name"], "left").select("use_id", "path", F.coalesce("real", "name").alias("name")), decls, imported, ambiguous=True)
+        own = to.join(rows.select("use_id", "fact", F.coalesce("range_id", "path").alias("source")), "use_id")
+        edges.append(_edges(own, F.when(F.col("fact") == "call", "calls").otherwise(F.col("fact")), weight, F.when(F.col("source") == F.col("target"), 1.0).otherwise(F.col("confidence")), F.col("provenance")))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -109,9 +113,13 @@ def layout_edges(files: DataFrame) -> DataFrame:
     strong = F.col("stem").isin("mod", "__init__")
     first = _edges(down.where("stem <> '__init__'"), "parent_module", 0.7, F.when(strong, 0.8).otherwise(0.7)).unionByName(_edges(down.where("stem = '__init__'"), "parent_module", 0.7, 0.8))
     beside = f.where("language IN ('go', 'php')").withColumn("key", F.when(F.col("language") == "go", F.element_at(F.split("dir", "/"), -1)).otherwise(F.col("dir")))
-    # files of one folder follow each other in a ring, so a folder of n files has n edges, not n * n
-    from pyspark.sql import Window
+    # files of a folder belong to one node, so a folder of n files has n edges, not n * n; siblings() has the pairs of given files
+    folder = beside.select(F.col("path").alias("source"), F.concat(F.lit("folder:"), "language", F.lit(":"), "key").alias("target"))
+    return first.unionByName(_edges(folder, "sibling_module", 0.7, 0.8))
 
-    w = Window.partitionBy("language", "key").orderBy("path")
-    ring = beside.select(F.col("path").alias("source"), F.coalesce(F.lead("path").over(w), F.first("path").over(w)).alias("target")).where("source <> target")
-    return first.unionByName(_edges(ring, "sibling_module", 0.7, 0.8))
+
+def siblings(members: DataFrame, files: DataFrame) -> DataFrame:
+    """source, target: the files beside each of files(path), by the folders of layout_edges()."""
+    own = members.where("relation_type = 'sibling_module'").select("source", F.col("target").alias("folder"))
+    asked = own.join(files.select(F.col("path").alias("source")), "source", "left_semi")
+    return asked.join(own.withColumnRenamed("source", "target"), "folder").where("source <> target").select("source", "target")

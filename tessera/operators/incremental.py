@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,3 +97,44 @@ def overridden(changed_paths: DataFrame, working: DataFrame, deleted: DataFrame)
 def coherent(base_commit: str, main_commit: str | None) -> bool:
     """A branch index fits the main index of its base commit; one without a base commit is of an old kind and fits any."""
     return base_commit == "" or base_commit == main_commit
+
+
+def with_symbol(rows: DataFrame, symbol: str, like: bool = False) -> DataFrame:
+    """Rows that have the symbol. like: by LIKE on the symbols' JSON text, as an index of texts would: % and _ are wildcards there."""
+    return rows.where(F.to_json("symbols").like(f"%{symbol}%") if like else F.array_contains("symbols", symbol))
+
+
+def by_key(rows: DataFrame, column: str, value: object, limit: int, *order: str) -> DataFrame:
+    """Up to `limit` rows with this value, in order."""
+    return rows.where(F.col(column) == F.lit(value)).orderBy(*order).limit(limit)
+
+
+def batches(rows: DataFrame, by: str, order: str, size: str, most: int, budget: int) -> DataFrame:
+    """by, order, batch: items of each group in order; a batch is full once it has `most` items or `budget` in size.
+
+    A batch's start depends on the one before it, so a group passes one task as a stream of (order, size) pairs.
+    """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (by, order)}
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, items, total = None, 0, 0, 0
+        for b in parts:
+            out = []
+            for k, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if k != key or not items:
+                    key, n, items, total = k, 0, 0, 0
+                elif items >= most or total >= budget:
+                    n, items, total = n + 1, 0, 0
+                items, total = items + 1, total + s
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], [by, order, "batch"])
+
+    return rows.select(by, order, size).repartition(by).sortWithinPartitions(by, order).mapInArrow(run, f"{by} {kinds[by]}, {order} {kinds[order]}, batch int")
+
+
+def content_sample(rows: DataFrame, by: list[str], order: list, text: str, tokens: str, budget: int, ends: int = 150) -> DataFrame:
+    """Rows of each group, in order, while their tokens (and 50 a row for its frame) stay below the budget, with a sample of the text: whole up to twice `ends` bytes, else both ends."""
+    whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("_total", F.sum(F.col(tokens) + 50).over(whole) - 50).where(F.col("_total") < budget).drop("_total")
+    short = F.octet_length(text) <= 2 * ends
+    return out.withColumn("sample", F.when(short, F.col(text)).otherwise(F.concat(F.substring(text, 1, ends), F.lit("\n...\n"), F.substring(text, -ends, ends))))

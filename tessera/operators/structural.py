@@ -24,7 +24,6 @@ from tessera.languages.generic import GRAMMARS
 TOKEN = re.compile(r"""\$\$\$\w*|\$\w+|[A-Za-z_]\w*|\d[\w.]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|::|->|=>|==|!=|<=|>=|&&|\|\||\?\.|[^\s\w]""")
 OPEN, CLOSE = "([{", ")]}"
 FILE_CAP, TOTAL_CAP, LEXICAL_FILE_CAP, LEXICAL_CAP = 500, 10_000, 20, 200
-LONGEST = 400  # tokens that a metavariable may take
 
 #: What a searcher may call a kind, and the kinds of declarations that it means.
 KIND_WORDS = {
@@ -54,7 +53,7 @@ def tokenise(text: str, lang: str) -> list[Token]:
 def _units(tokens: list[Token], i: int, many: bool) -> Iterator[int]:
     """Ends of balanced stretches from i, shortest first. One expression has no separator outside brackets."""
     depth = 0
-    for k in range(i, min(len(tokens), i + LONGEST)):
+    for k in range(i, len(tokens)):
         t = tokens[k].text
         depth += (t in OPEN) - (t in CLOSE)
         if depth < 0 or depth == 0 and t == ";" or not many and depth == 0 and t in ",{}":
@@ -83,9 +82,10 @@ def _match(pattern: list[Token], p: int, tokens: list[Token], i: int, text: str,
     return None
 
 
-def find(pattern: str, text: str, lang: str, constraints: dict[str, str] | None = None) -> Iterator[tuple[int, int, dict[str, str]]]:
+def find(pattern: str, text: str, lang: str, constraints: dict[str, str] | None = None, tokens: list[Token] | None = None) -> Iterator[tuple[int, int, dict[str, str]]]:
     """(start, end, bindings) of matches that don't overlap; every constrained metavariable must be bound and match its expression."""
-    pat, tokens = tokenise(pattern, lang), tokenise(text, lang)
+    pat = tokenise(pattern, lang)
+    tokens = tokenise(text, lang) if tokens is None else tokens
     if not pat:
         return
     first = None if pat[0].text.startswith("$") else pat[0].text
@@ -121,6 +121,7 @@ def diagnose(pattern: str, lang: str) -> dict:
 
 
 MATCH = "path string, line int, column int, text string, start_byte int, end_byte int, breadcrumb string"
+MATCH_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
 
 
 def _row(path: str, text: str, a: int, b: int, crumbs: list[tuple[int, int, str]]) -> tuple:
@@ -131,18 +132,17 @@ def _row(path: str, text: str, a: int, b: int, crumbs: list[tuple[int, int, str]
     return path, line + 1, size(text[head:a]), text[a:b], start, start + size(text[a:b]), " › ".join(around) or None
 
 
-def _scan(files: DataFrame, one) -> DataFrame:
+def _scan(files: DataFrame, one, ddl: str = MATCH, types: tuple = MATCH_TYPES) -> DataFrame:
     """files(path, content, language) through one(path, text, language) -> match rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
-        names = [x.split()[0] for x in MATCH.split(", ")]
+        names = [x.split()[0] for x in ddl.split(", ")]
         for b in batches:
             rows = [r for p, t, lang in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in one(p, t or "", lang or "")]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return files.select("path", "content", "language").mapInArrow(run, MATCH)
+    return files.select("path", "content", "language").mapInArrow(run, ddl)
 
 
 def search(files: DataFrame, pattern: str, constraints: dict[str, str] | None = None) -> DataFrame:
@@ -157,6 +157,83 @@ def search(files: DataFrame, pattern: str, constraints: dict[str, str] | None =
     return _scan(files.where(has_all(F.col("content"), prefilter_tokens(pattern))), one)
 
 
+def search_many(files: DataFrame, patterns: dict[str, str], constraints: dict[str, str] | None = None) -> DataFrame:
+    """label and match rows of several patterns {label: pattern}: each text is read and cut into tokens once."""
+    labels = F.create_map(*[F.lit(x) for n, label in enumerate(patterns) for x in (n, label)])
+
+    def one(path: str, text: str, lang: str) -> Iterator[tuple]:
+        tokens, crumbs = None, None
+        for n, pattern in enumerate(patterns.values()):
+            if not all(t in text for t in prefilter_tokens(pattern)):
+                continue
+            tokens = tokenise(text, lang) if tokens is None else tokens
+            for a, b, _ in find(pattern, text, lang, constraints, tokens):
+                crumbs = breadcrumb(text, lang) if crumbs is None else crumbs
+                yield (n, *_row(path, text, a, b, crumbs))
+
+    return _scan(files, one, f"label int, {MATCH}", (pa.int32(), *MATCH_TYPES)).withColumn("label", F.element_at(labels, F.col("label")))
+
+
+def search_within(files: DataFrame, scaffold: str, selected: str) -> DataFrame:
+    """Matches of a metavariable inside a scaffold: rows of what `$selected` stands for where the whole scaffold matches."""
+
+    def one(path: str, text: str, lang: str) -> Iterator[tuple]:
+        crumbs = None
+        for a, b, bound in find(scaffold, text, lang):
+            if (part := bound.get(selected)) and (at := text.find(part, a, b)) >= 0:
+                crumbs = breadcrumb(text, lang) if crumbs is None else crumbs
+                yield _row(path, text, at, at + len(part), crumbs)
+
+    return _scan(files.where(has_all(F.col("content"), prefilter_tokens(scaffold))), one)
+
+
+def rewritten(files: DataFrame, pattern: str, template: str, constraints: dict[str, str] | None = None) -> DataFrame:
+    """path, content, n of the files that a rewrite changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, *rewrite(pattern, template, t or "", lang or "", constraints)) for p, t, lang in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            rows = [r for r in rows if r[2]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)], ["path", "content", "n"])
+
+    return files.where(has_all(F.col("content"), prefilter_tokens(pattern))).select("path", "content", "language").mapInArrow(run, "path string, content string, n int")
+
+
+#: By language, how a pattern begins and the declarations that it means.
+ITEM_WORDS = {
+    "rust": {"struct": "struct", "enum": "enum", "trait": "trait", "impl": "impl", "fn": "function", "use": "import", "mod": "module", "type": "type"},
+    "javascript": {"class": "class", "function": "function", "interface": "interface", "import": "import"},
+    "typescript": {"class": "class", "function": "function", "interface": "interface", "import": "import"},
+    "python": {"def": "function", "class": "class", "from": "import", "import": "import"},
+    "go": {"func": "function", "type": "type", "import": "import"},
+}
+#: Words that may stand in front of them.
+BEFORE_ITEM = {"rust": ("pub", "async", "const", "unsafe"), "javascript": ("export", "async"), "typescript": ("export", "async"), "python": ("async",), "go": ()}
+
+
+def item_kind(pattern: str, lang: str) -> str | None:
+    """What kind of item a pattern starts with; the keyword must be followed by white space."""
+    rest = pattern.lstrip()
+    while m := re.match(r"(\w+)\s+", rest):
+        if kind := ITEM_WORDS.get(lang, {}).get(m[1]):
+            return kind
+        if m[1] not in BEFORE_ITEM.get(lang, ()):
+            return None
+        rest = rest[m.end() :]
+    return None
+
+
+def contexts(pattern: str, lang: str) -> list[tuple[str, str]]:
+    """(selected kind, scaffold) in which a pattern can be read that doesn't stand alone."""
+    if lang == "rust":
+        typed = "<" in pattern and ">" in pattern and not any(x in pattern for x in ("{", ";", "fn "))
+        return [("generic_type", f"type _ = {pattern};")] if typed else []
+    frames = {"go": [("call_expression", "package _\nfunc _() {{ {} }}")], "json": [("pair", "{{ {} }}")]}
+    frames |= dict.fromkeys(("javascript", "typescript"), [("field_definition", "class _ {{ {} }}"), ("method_definition", "class _ {{ {} }}")])
+    return [(kind, frame.format(pattern)) for kind, frame in frames.get(lang, [])]
+
+
 def declarations(files: DataFrame, kinds: list[str] | None = None, name: str = "*") -> DataFrame:
     """path, name, kind, owner, start_line, end_line (1-based) of declarations."""
 

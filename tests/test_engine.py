@@ -91,7 +91,7 @@ def test_graph_of_files(files):
     nodes, edges = build_graph.build(files)
     e = {(r.source, r.target, r.relation_type): r for r in edges.collect()}
     assert ("app/main.py", "app/util.py", "imports") in e and ("web/index.ts", "web/lib.ts", "imports") in e
-    assert e["app/main.py::Job::run", "app/util.py::helper", "calls"].confidence == pytest.approx(0.85)  # through the bound name
+    assert e["app/main.py::Job::run", "app/util.py::helper", "calls"].confidence == pytest.approx(0.95)  # through the bound name
     assert e["app/main.py::Job::run", "app/main.py::Job::stop", "calls"].provenance == "extracted"
     assert e["app/main.py::start", "app/main.py::start", "calls"].confidence == 1.0
     assert ("app/main.py::Job", "app/util.py::Base", "extends") in e and ("web/index.ts::K", "web/lib.ts::L", "extends") in e

@@ -94,7 +94,9 @@ def test_graph_views(spark):
     lex, sem = spark.createDataFrame([("a", 0), ("b", 1)], "id string, rank int"), spark.createDataFrame([("b", 0), ("c", 1)], "id string, rank int")
     assert [r.id for r in ix.search_composition(lex, sem).collect()] == ["a", "b", "c"]
     files = spark.createDataFrame([("p/__init__.py", "python"), ("p/q/m.py", "python"), ("g/a.go", "go"), ("g/b.go", "go")], "path string, language string")
-    assert sorted((r.source, r.target) for r in build_graph.layout_edges(files).collect()) == [("g/a.go", "g/b.go"), ("g/b.go", "g/a.go"), ("p/__init__.py", "p/q/m.py")]
+    assert sorted((r.source, r.target) for r in build_graph.layout_edges(files).collect()) == [("g/a.go", "folder:go:g"), ("g/b.go", "folder:go:g"), ("p/__init__.py", "p/q/m.py")]
+    beside = build_graph.siblings(build_graph.layout_edges(files), files)
+    assert sorted(map(tuple, beside.collect())) == [("g/a.go", "g/b.go"), ("g/b.go", "g/a.go")]
 
 
 def test_rendering():
