@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import extended
 
 SAMPLE, PIECE, PIECES = 4000, 96, 28_800
-HIDDEN, TRAINED, BATCH, STEPS, RATE, SEED = 10, 128, 96, 300, 0.02, 7
+HIDDEN, TRAINED, BATCH, STEPS, RATE, SEED = 8, 128, 96, 300, 0.02, 7
 BLOCK, WARM = 256, 64
-PAD, STEP = 256, 1024
+PAD, STEP = 256, 2048
 LETTER = re.compile(r"[^\W\d_]")
 
 

@@ -7,13 +7,17 @@ retrieved where one band agrees. A window that holds CONTAINMENT of a template h
 least 0.8 s / 2.2 s, hence is retrieved with a probability of 1 - (1 - 0.363)^32 > 0.9999994, and one that holds
 all of it with 1 - 2^-32. Verification is exact: distinct shared shingles / distinct shingles of the template.
 
-Work is saved only where nothing can be lost: a set of anchor words is chosen so that each shingle of each
-template has one. Texts without an anchor word share no shingle with a template, and neither do windows.
+Work is saved only where nothing can be lost: for each template a set of anchor words is chosen so that each of its
+shingles has one. Texts without an anchor word share no shingle with a template, and neither do windows.
 DataFrame operations only; everything happens inside a row, so there is no shuffle.
 
+Templates are an argument, {name: text}. The default ones (license_texts) are notices, file headers and the whole
+texts of the common short licenses; the long ones (Apache-2.0, GPL, MPL, CC) are found by their notices and headers
+unless the caller gives their texts. What is in a row's plan grows with the templates' words.
+
 Result: one row for each document and license found, with the best containment and the number of windows that
 hold it. Defined cases: null, empty and shorter texts have no shingles and no rows. Very long texts are read
-whole. Repeated rows give repeated rows. Empty table: no rows. Extra columns are ignored.
+whole. Repeated rows give repeated rows. Empty table, or no template of five words: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,23 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import computed
+from tessera.llm.license_texts import TEMPLATES
 
 SHINGLE, HASHES, CONTAINMENT = 5, 32, 0.8
 
-#: Notices by which licenses are declared.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "MIT": "Released under the MIT License",
-    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
 #: Words so common that they make poor anchors; they are taken only where a shingle has no other.
 COMMON = frozenset("a all an and any are as at be by can for from i if in is it may no not of on or so than that the this to use v was we with you 0 1 2 3 4".split())
 
@@ -56,61 +47,74 @@ def template_shingles(text: str) -> list[str]:
     return [" ".join(ws[i : i + SHINGLE]) for i in range(len(ws) - SHINGLE + 1)]
 
 
-def anchors(templates: Mapping[str, str]) -> list[str]:
-    """Words of which every shingle of every template has one: greedy cover, common words last."""
-    left, out = {s for t in templates.values() for s in template_shingles(t)}, []
-    while left:
-        count = Counter(w for s in left for w in set(s.split()))
-        w = min(count, key=lambda w: (w in COMMON, -count[w], w))
-        out.append(w)
-        left = {s for s in left if w not in s.split()}
-    return sorted(out)
+def anchors(templates: Mapping[str, str]) -> dict[str, list[str]]:
+    """For each template words of which every shingle has one: greedy cover, common words last, those of other templates first."""
+    taken: set[str] = set()
+    out = {}
+    for name, text in templates.items():
+        left, own = set(template_shingles(text)), []
+        while left:
+            count = Counter(w for s in left for w in set(s.split()))
+            w = min(count, key=lambda w: (w in COMMON, w not in taken, -count[w], w))
+            own.append(w)
+            left = {s for s in left if w not in s.split()}
+        taken |= set(own)
+        out[name] = sorted(own)
+    return out
+
 
+def hashed(shingle: Column) -> Column:
+    return F.xxhash64(shingle)
 
-def signature(shingles: Column) -> Column:
-    def of(hashed: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda k: F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, k))))
 
-    return F.element_at(F.transform(F.array(F.transform(shingles, lambda s: F.xxhash64(s))), of), 1)  # each shingle's text is hashed once
+def signature(values: Column) -> Column:
+    """MinHash values of an array of shingle hashes."""
+    return F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda k: F.array_min(F.transform(values, lambda h: F.xxhash64(h, k))))
 
 
 def template_signatures(spark: SparkSession, templates: Mapping[str, str]) -> dict[str, list[int]]:
     """MinHash values of the templates by the same expression as for windows; bounded by the templates."""
     rows = ", ".join("({}, array({}))".format(repr(n), ", ".join(f"'{s}'" for s in template_shingles(t))) for n, t in templates.items())
-    return {r.name: list(r.sig) for r in spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, shingles)").select("name", signature(F.col("shingles")).alias("sig")).collect()}
+    return {r.name: list(r.sig) for r in spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, shingles)").select("name", signature(F.transform("shingles", hashed)).alias("sig")).collect()}
 
 
 def _strings(xs: list[str]) -> Column:
     return F.array(*[F.lit(x) for x in xs])
 
 
-def _held(s: int, own: list[str], sig: list[int]) -> Column:
-    """Containments of at least CONTAINMENT in the windows for a template of s shingles (w: words, n: shingles, at: places of anchors)."""
-    # window j has the shingles j * s .. j * s + 2s - 1, that is 2s + 4 words, with an anchor word in them
-    near = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.floor((p - (2 * s + SHINGLE - 2)) / s), F.lit(0)), F.floor(p / s)))))
+def _held(s: int, own: list[str], words: list[str], sig: list[int]) -> Column:
+    """Containments of at least CONTAINMENT in the windows for a template of s shingles (w: words, n: shingles, at: places of anchors, hs: shingle hashes)."""
+    # window j has the shingles j * s .. j * s + 2s - 1, that is 2s + 4 words, with one of the template's anchor words in them
+    at = F.filter("at", lambda p: F.array_contains(_strings(words), F.get("w", p)))
+    near = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(F.floor((p - (2 * s + SHINGLE - 2)) / s), F.lit(0)), F.floor(p / s)))))
     near = F.filter(near, lambda j: j * s < F.col("n"))
     signed = F.array(*[F.lit(int(x)) for x in sig])
 
+    def retrieved(j: Column) -> Column:
+        return F.exists(F.zip_with(signature(F.slice("hs", (j * s + 1).cast("int"), 2 * s)), signed, lambda a, b: a == b), lambda y: y)
+
     def window(j: Column) -> Column:
         return F.transform(F.sequence(j * s, F.least(j * s + 2 * s, F.col("n")) - 1), lambda i: F.array_join(F.slice("w", i.cast("int") + 1, SHINGLE), " "))
 
-    def retrieved(x: Column) -> Column:
-        return F.exists(F.zip_with(signature(x), signed, lambda a, b: a == b), lambda y: y)
-
-    candidates = F.filter(F.transform(near, window), retrieved)
-    return F.filter(F.transform(candidates, lambda x: F.size(F.array_intersect(x, _strings(own))) / F.lit(float(len(own)))), lambda c: c >= CONTAINMENT)
+    candidates = F.filter(near, retrieved)
+    held = F.transform(candidates, lambda j: F.size(F.array_intersect(window(j), _strings(own))) / F.lit(float(len(own))))
+    return F.filter(held, lambda c: c >= CONTAINMENT)
 
 
 def licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, license, containment, n_windows for every license found in a row of docs."""
     templates = {n: t for n, t in templates.items() if template_shingles(t)}
+    if not templates:
+        return docs.where("false").select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("n_windows"))
     sigs, words = template_signatures(docs.sparkSession, templates), anchors(templates)
+    every = sorted({w for ws in words.values() for w in ws})
     low = F.lower("text")
-    rows = docs.select("doc_id", low.alias("low")).where(F.greatest(*[F.col("low").contains(w) for w in words], F.lit(False)))
+    rows = docs.select("doc_id", low.alias("low")).where(F.greatest(*[F.col("low").contains(w) for w in every], F.lit(False), F.lit(False)))
     rows = computed(rows, w=F.regexp_extract_all("low", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).drop("low")
-    places = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(_strings(words), x), i)), lambda i: i.isNotNull())
+    places = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(_strings(every), x), i)), lambda i: i.isNotNull())
     rows = computed(rows, n=F.greatest(F.size("w") - (SHINGLE - 1), F.lit(0)), at=places).where((F.col("n") > 0) & (F.size("at") > 0))
-    found = [F.struct(F.lit(name).alias("license"), _held(len(template_shingles(t)), sorted(set(template_shingles(t))), sigs[name]).alias("held")) for name, t in templates.items()]
+    rows = computed(rows, hs=F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: hashed(F.array_join(F.slice("w", i + 1, SHINGLE), " "))))
+    found = [F.struct(F.lit(name).alias("license"), _held(len(template_shingles(t)), sorted(set(template_shingles(t))), words[name], sigs[name]).alias("held")) for name, t in templates.items()]
     rows = rows.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: F.size(x["held"]) > 0)).alias("f"))
     return rows.select("doc_id", F.col("f.license").alias("license"), F.array_max("f.held").alias("containment"), F.size("f.held").alias("n_windows"))
 
