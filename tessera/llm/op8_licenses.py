@@ -7,8 +7,8 @@ retrieved where one band agrees. A window that holds CONTAINMENT of a template h
 least 0.8 s / 2.2 s, hence is retrieved with a probability of 1 - (1 - 0.363)^32 > 0.9999994, and one that holds
 all of it with 1 - 2^-32. Verification is exact: distinct shared shingles / distinct shingles of the template.
 
-Work is saved only where nothing can be lost: for each template a set of anchor words is chosen so that each of its
-shingles has one. Texts without an anchor word share no shingle with a template, and neither do windows.
+Work is saved only where nothing can be lost: for each template anchor words are chosen that more of its shingles have
+than a window with CONTAINMENT can lack. Texts and windows without an anchor word of a template can't hold it.
 DataFrame operations only; everything happens inside a row, so there is no shuffle.
 
 Templates are an argument, {name: text}. The default ones (license_texts) are notices, file headers and the whole
@@ -22,8 +22,8 @@ whole. Repeated rows give repeated rows. Empty table, or no template of five wor
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,17 +48,16 @@ def template_shingles(text: str) -> list[str]:
 
 
 def anchors(templates: Mapping[str, str]) -> dict[str, list[str]]:
-    """For each template words of which every shingle has one: greedy cover, common words last, those of other templates first."""
-    taken: set[str] = set()
+    """For each template words of which so many shingles have one that no window with CONTAINMENT can miss them all: long words first, common ones last."""
     out = {}
     for name, text in templates.items():
-        left, own = set(template_shingles(text)), []
-        while left:
-            count = Counter(w for s in left for w in set(s.split()))
-            w = min(count, key=lambda w: (w in COMMON, w not in taken, -count[w], w))
+        every = set(template_shingles(text))
+        left, own = set(every), []
+        # a window with CONTAINMENT lacks at most this many shingles
+        while len(every) - len(left) <= math.floor((1 - CONTAINMENT) * len(every) + 1e-9):
+            w = min({w for s in left for w in s.split()}, key=lambda w: (w in COMMON, -len(w), w))
             own.append(w)
             left = {s for s in left if w not in s.split()}
-        taken |= set(own)
         out[name] = sorted(own)
     return out
 
@@ -67,6 +66,11 @@ def hashed(shingle: Column) -> Column:
     return F.xxhash64(shingle)
 
 
+def shingle_at(i: Column) -> Column:
+    """The shingle that starts at word i of w. Single words are looked up: a slice would copy the whole array each time."""
+    return F.concat_ws(" ", *[F.get("w", i + k) for k in range(SHINGLE)])
+
+
 def signature(values: Column) -> Column:
     """MinHash values of an array of shingle hashes."""
     return F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda k: F.array_min(F.transform(values, lambda h: F.xxhash64(h, k))))
@@ -90,11 +94,15 @@ def _held(s: int, own: list[str], words: list[str], sig: list[int]) -> Column:
     near = F.filter(near, lambda j: j * s < F.col("n"))
     signed = F.array(*[F.lit(int(x)) for x in sig])
 
+    def over(j: Column, of) -> Column:
+        return F.transform(F.sequence(j * s, F.least(j * s + 2 * s, F.col("n")) - 1), lambda i: of(i.cast("int")))
+
     def retrieved(j: Column) -> Column:
-        return F.exists(F.zip_with(signature(F.slice("hs", (j * s + 1).cast("int"), 2 * s)), signed, lambda a, b: a == b), lambda y: y)
+        own = F.array(over(j, lambda i: F.get("hs", i)))  # a list of one window, so that its hashes are gathered once
+        return F.exists(own, lambda v: F.exists(F.zip_with(signature(v), signed, lambda a, b: a == b), lambda y: y))
 
     def window(j: Column) -> Column:
-        return F.transform(F.sequence(j * s, F.least(j * s + 2 * s, F.col("n")) - 1), lambda i: F.array_join(F.slice("w", i.cast("int") + 1, SHINGLE), " "))
+        return over(j, shingle_at)
 
     candidates = F.filter(near, retrieved)
     held = F.transform(candidates, lambda j: F.size(F.array_intersect(window(j), _strings(own))) / F.lit(float(len(own))))
@@ -113,7 +121,7 @@ def licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataF
     rows = computed(rows, w=F.regexp_extract_all("low", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).drop("low")
     places = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(_strings(every), x), i)), lambda i: i.isNotNull())
     rows = computed(rows, n=F.greatest(F.size("w") - (SHINGLE - 1), F.lit(0)), at=places).where((F.col("n") > 0) & (F.size("at") > 0))
-    rows = computed(rows, hs=F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: hashed(F.array_join(F.slice("w", i + 1, SHINGLE), " "))))
+    rows = computed(rows, hs=F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: hashed(shingle_at(i))))
     found = [F.struct(F.lit(name).alias("license"), _held(len(template_shingles(t)), sorted(set(template_shingles(t))), words[name], sigs[name]).alias("held")) for name, t in templates.items()]
     rows = rows.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: F.size(x["held"]) > 0)).alias("f"))
     return rows.select("doc_id", F.col("f.license").alias("license"), F.array_max("f.held").alias("containment"), F.size("f.held").alias("n_windows"))

@@ -40,7 +40,10 @@ def test_against_brute_force(spark):
 
 def test_anchors_lose_nothing():
     words = op.anchors(op.TEMPLATES)
-    assert all(set(words[n]) & set(s.split()) for n, t in op.TEMPLATES.items() for s in op.template_shingles(t))
+    for n, t in op.TEMPLATES.items():
+        every = set(op.template_shingles(t))
+        without = {s for s in every if not set(words[n]) & set(s.split())}
+        assert len(without) / len(every) < op.CONTAINMENT
 
 
 def test_edited_copies_of_whole_texts(spark):
