@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as cp
 from tessera.llm import near_texts
 from tests.llm.test_op7_simhash import brute, slow_fingerprint
@@ -64,3 +66,36 @@ def test_a_group_is_split_by_labels(spark):
         assert {tuple(r) for r in near_texts.linked(df).collect()} == want
     finally:
         near_texts.STARS = stars
+
+
+def test_split_buckets_give_the_same_components(spark, monkeypatch):
+    """Buckets in many parts, with and without star rounds."""
+    texts = planted(random.Random(3))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = {tuple(r) for r in near_texts.linked(df).collect()}
+    monkeypatch.setattr(near_texts, "SPLIT", 3)
+    monkeypatch.setattr(near_texts, "STARS", 0)
+    assert {tuple(r) for r in near_texts.linked(df).collect()} == want
+
+
+def test_sketches_lose_no_similar_pair():
+    """Pairs at or above 0.8 pass whatever their sizes; sets across a doubling of the sketch too; most others don't."""
+    rng = np.random.default_rng(4)
+    passed = others = 0
+    for n in (1, 4, 9, 100, 800, 1023, 1024, 1030, 1200, 2047, 2060, 9000):
+        base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for lost in (0, 0.02, 0.1, 0.15, 0.2, 0.3, 0.5):
+            for added in (0, 0.05, 0.1, 0.2, 0.4):
+                other = np.unique(np.concatenate((base[int(lost * n) :], rng.integers(0, 2**63, int(added * n)).astype(np.uint64))))
+                if not len(other):
+                    continue
+                same = len(np.intersect1d(base, other))
+                similar = same / (len(base) + len(other) - same) >= 0.8
+                cols = [np.array([5, 3]), np.array([5, 3]), np.array([len(base), len(other)]), np.array([3, 3])]
+                of = np.array([near_texts.sketch(base), near_texts.sketch(other)], object)
+                got = [(a.tolist(), b.tolist()) for a, b in near_texts.close(*cols, of, 0.8)]
+                assert got in ([], [([3], [5])])
+                assert got or not similar
+                if not similar:
+                    others, passed = others + 1, passed + bool(got)
+    assert passed < others / 4
