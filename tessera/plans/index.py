@@ -31,12 +31,11 @@ def write_blocks(store: Store, files: DataFrame) -> dict[str, int]:
     for modality, name in TABLE_OF.items():
         new, old = rows.where(F.col("modality") == modality), store.read(name)
         diff = incremental.hash_diff(old.join(paths, "path", "left_semi"), new, ["path", "hash"])
-        gone, fresh = diff.where("action = 'delete'").select("hash"), diff.where("action = 'insert'").select("path", "hash")
+        gone, fresh = diff.where("action = 'delete'").select("path", "hash"), diff.where("action = 'insert'").select("path", "hash")
         counts[name], stale = fresh.count(), not gone.isEmpty()
-        kept = old.join(gone, "hash", "left_anti") if stale else old
         add = enriched(new.join(fresh, ["path", "hash"], "left_semi").dropDuplicates(["path", "hash"]))
-        if stale:  # one new snapshot holds both changes
-            store.replace(name, kept.select(*old.columns).unionByName(add.select(*old.columns)))
+        if stale:  # one new state holds both changes; only the buckets of these files are written
+            store.delete(name, gone, ["path", "hash"], add.select(*old.columns))
         elif counts[name]:
             store.append(name, add)
     rows.unpersist()

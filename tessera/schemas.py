@@ -34,10 +34,10 @@ def schema_of(name: str) -> StructType:
     return StructType.fromDDL(TABLES[name])
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str | list[str], name: str) -> DataFrame:
     """A table by its schema; columns that the files lack get their default."""
     schema = schema_of(name)
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(*([path] if isinstance(path, str) else path))
     return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(DEFAULTS.get(f.name)).cast(f.dataType).alias(f.name) for f in schema])
 
 

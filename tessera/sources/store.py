@@ -1,7 +1,11 @@
-"""Tables on a shared folder: snapshots of Parquet that are swapped whole, markers, archives and a lock.
-
-Every change writes a new snapshot beside the old one and then moves one pointer file, so readers and repeated
-jobs see one state or the other. Paths go through Hadoop's file system, so any store that Spark knows works.
+"""Tables on a shared folder: bucketed Parquet parts behind numbered manifests, markers, archives and a lock.
+
+Rows lie in buckets by the hash of their path (edges: source; commits: hash). A change writes new parts for the
+buckets that it touches and then one manifest with the next number, which names all parts of the table. Readers take
+the manifest with the greatest number, so they and repeated jobs see one state or the other, and there is no moment
+without a table: nothing is moved over anything. The state before the newest stays for plans that read it. Writers
+take the lock; parts of a writer that died are in no manifest and go when the table is compacted. Paths go through
+Hadoop's file system, so any store that Spark knows works.
 """
 
 from __future__ import annotations
@@ -11,12 +15,15 @@ import os
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import incremental
 from tessera.schemas import TABLES, read_table, schema_of
 
+#: Buckets of a new table.
+BUCKETS = 16
+
 #: Tables by clearing mode, and the marker that goes with each.
 MODES = {
     "code": (["code_blocks"], "files"), "text": (["text_blocks"], "files"), "docs": (["document_blocks"], "files"), "commits": (["commit_blocks"], "commits"),
@@ -25,8 +32,8 @@ MODES = {
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, branch: str | None = None):
-        self.spark, self.base = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, branch: str | None = None, buckets: int = BUCKETS):
+        self.spark, self.base, self.buckets = spark, root.rstrip("/"), buckets
         self.root = f"{self.base}/branches/{branch.replace('/', '--')}/storage" if branch else f"{self.base}/storage"
         self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -40,7 +47,12 @@ class Store:
         out = self.fs.create(self.path(temp), True)
         out.write(bytearray(text.encode()))
         out.close()
-        self._move(temp, p)
+        # readers see the old file or the new one, never none
+        rename = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        conf = self.spark._jsc.hadoopConfiguration()
+        self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf).rename(self.path(temp), self.path(p), how)
 
     def _move(self, a: str, b: str) -> None:
         if self._exists(b):
@@ -59,48 +71,120 @@ class Store:
             source.close()
 
     # tables
-    def snapshot(self, name: str) -> str | None:
-        at = self._read(f"{self.root}/{name}/CURRENT")
-        return f"{self.root}/{name}/{at}" if at else None
+    def _versions(self, name: str) -> list[int]:
+        at = self.path(f"{self.root}/{name}/manifests")
+        names = [f.getPath().getName() for f in self.fs.listStatus(at)] if self.fs.exists(at) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _at(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/manifests/{version:012d}.json"
+
+    def manifest(self, name: str) -> dict | None:
+        """The newest state: its number, schema, number of buckets and parts as {bucket: [folders]}."""
+        known = self._versions(name)
+        return json.loads(self._read(self._at(name, known[-1])) or "null") if known else None
+
+    def _commit(self, name: str, before: dict | None, parts: dict[str, list[str]]) -> None:
+        """Make parts the next state of the table that was at before; another writer's state in between raises."""
+        version = before["version"] + 1 if before else 1
+        known = self._versions(name)
+        if (known[-1] if known else 0) >= version:
+            raise RuntimeError(f"{name}: another writer was first")
+        now = {"version": version, "schema": TABLES[name], "buckets": before["buckets"] if before else self.buckets, "parts": {k: v for k, v in parts.items() if v}}
+        self._write(self._at(name, version), json.dumps(now))
+        kept = {p for m in (before, now) if m for ps in m["parts"].values() for p in ps}
+        for old in known[:-1]:
+            gone = json.loads(self._read(self._at(name, old)) or '{"parts": {}}')
+            for p in {p for ps in gone["parts"].values() for p in ps} - kept:
+                self.fs.delete(self.path(f"{self.root}/{name}/{p}"), True)
+            self.fs.delete(self.path(self._at(name, old)), False)
+
+    def _key(self, name: str) -> str:
+        names = schema_of(name).names
+        return next((c for c in ("path", "source", "hash") if c in names), names[0])
+
+    def _bucket(self, key: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(buckets))
+
+    def _written(self, name: str, df: DataFrame, buckets: int) -> dict[str, list[str]]:
+        """Rows as a new part: its folder of each bucket. Large buckets are split over tasks, small ones share one."""
+        at = f"part-{uuid.uuid4().hex}"
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(name)]).withColumn("_bucket", self._bucket(self._key(name), buckets))
+        rows.hint("rebalance", F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{self.root}/{name}/{at}")
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.path(f"{self.root}/{name}/{at}"))]
+        return {n.split("=")[1]: [f"{at}/{n}"] for n in names if n.startswith("_bucket=")}
+
+    def _rows(self, name: str, parts: dict[str, list[str]]) -> DataFrame:
+        paths = [f"{self.root}/{name}/{p}" for ps in parts.values() for p in ps]
+        return read_table(self.spark, paths, name) if paths else self.spark.createDataFrame([], schema_of(name))
 
     def read(self, name: str) -> DataFrame:
-        at = self.snapshot(name)
-        return read_table(self.spark, at, name) if at else self.spark.createDataFrame([], schema_of(name))
+        return self._rows(name, (self.manifest(name) or {"parts": {}})["parts"])
 
     def replace(self, name: str, df: DataFrame) -> None:
-        old, new = self._read(f"{self.root}/{name}/CURRENT"), f"v-{uuid.uuid4().hex}"
-        df.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(name)]).write.parquet(f"{self.root}/{name}/{new}")
-        # the snapshot before stays for plans that read it; the one before that goes
-        if stale := self._read(f"{self.root}/{name}/PREVIOUS"):
-            self.fs.delete(self.path(f"{self.root}/{name}/{stale}"), True)
-        if old:
-            self._write(f"{self.root}/{name}/PREVIOUS", old)
-        self._write(f"{self.root}/{name}/CURRENT", new)
+        m = self.manifest(name)
+        self._commit(name, m, self._written(name, df, m["buckets"] if m else self.buckets))
 
     def append(self, name: str, df: DataFrame) -> None:
-        """Into the current snapshot; the table comes into being with its first rows."""
-        at = self.snapshot(name)
-        if at:
-            df.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(name)]).write.mode("append").parquet(at)
-        else:
-            self.replace(name, df)
+        """A state with one more part; what is there isn't written again."""
+        self._revise(name, {}, None, df)
+
+    def _revise(self, name: str, touched: dict[str, list[str]], kept: DataFrame | None, add: DataFrame | None) -> None:
+        """One new state: the touched buckets hold kept, add comes to it, the other buckets stay as they are."""
+        m = self.manifest(name)
+        if m is None or m["schema"] != TABLES[name]:  # a part of another schema would lie beside the older ones
+            rest = self._rows(name, {k: v for k, v in m["parts"].items() if k not in touched}) if m else None
+            add = rest if add is None else add if rest is None else rest.unionByName(add.select(*rest.columns))
+            touched = m["parts"] if m else {}
+        both = kept if add is None else add if kept is None else kept.unionByName(add.select(*kept.columns))
+        parts = {k: list(v) for k, v in m["parts"].items() if k not in touched} if m else {}
+        for k, v in (self._written(name, both, m["buckets"] if m else self.buckets) if both is not None else {}).items():
+            parts.setdefault(k, []).extend(v)
+        self._commit(name, m, parts)
+
+    def _touched(self, name: str, keys: DataFrame, on: list[str]) -> dict[str, list[str]]:
+        """The buckets that rows with these keys lie in: from the keys if they say so, else by a scan of their columns."""
+        m = self.manifest(name)
+        if m is None:
+            return {}
+        key = self._key(name)
+        rows = keys if key in on else self.read(name).select(key, *on).join(keys.select(*on), on, "left_semi")
+        found = {str(r[0]) for r in rows.select(self._bucket(key, m["buckets"])).distinct().collect()}  # at most one row a bucket
+        return {k: v for k, v in m["parts"].items() if k in found}
 
     def count(self, name: str) -> int:
-        return self.read(name).count() if self.snapshot(name) else 0
+        return self.read(name).count()
 
-    def delete(self, name: str, keys: DataFrame, on: str) -> None:
-        self.replace(name, self.read(name).join(keys.select(on), on, "left_anti"))
+    def delete(self, name: str, keys: DataFrame, on: str | list[str], add: DataFrame | None = None) -> None:
+        """Rows with these keys go and the rows of add come, in one new state."""
+        on = [on] if isinstance(on, str) else on
+        touched = self._touched(name, keys, on)
+        if touched or add is not None:
+            old = self._rows(name, touched)
+            self._revise(name, touched, old.join(keys.select(*on), on, "left_anti").select(*old.columns) if touched else None, add)
 
     def cascade(self, paths: DataFrame) -> None:
-        names = [n for n in ("code_blocks", "text_blocks", "document_blocks", "graph_nodes", "graph_edges", "file_metadata") if self.snapshot(n)]
-        for name, df in incremental.cascade_delete({n: self.read(n) for n in names}, paths).items():
-            self.replace(name, df)
+        for name in ("code_blocks", "text_blocks", "document_blocks", "graph_nodes", "graph_edges", "file_metadata"):
+            touched: dict[str, list[str]] = {}
+            for c in ("source", "target") if name == "graph_edges" else ("path",):
+                touched |= self._touched(name, paths.select(F.col("path").alias(c)), [c])
+            if touched:
+                self._revise(name, touched, incremental.cascade_delete({name: self._rows(name, touched)}, paths)[name], None)
 
     def upsert_metadata(self, rows: DataFrame) -> None:
-        self.replace("file_metadata", incremental.upsert(self.read("file_metadata"), rows, ["path"], "indexed_at"))
-
-    def compact(self, name: str, files: int = 1) -> None:
-        self.replace(name, self.read(name).coalesce(files))
+        touched = self._touched("file_metadata", rows, ["path"])
+        self._revise("file_metadata", touched, None, incremental.upsert(self._rows("file_metadata", touched), rows, ["path"], "indexed_at"))
+
+    def compact(self, name: str) -> None:
+        """One part a bucket; folders that no state names go. Take the lock: a running writer's part isn't named yet."""
+        if self.manifest(name) is None:
+            return
+        self.replace(name, self.read(name))
+        states = [json.loads(self._read(self._at(name, v)) or "{}") for v in self._versions(name)]
+        named = {p.split("/")[0] for m in states for ps in m["parts"].values() for p in ps}
+        for f in self.fs.listStatus(self.path(f"{self.root}/{name}")):
+            if f.getPath().getName().startswith("part-") and f.getPath().getName() not in named:
+                self.fs.delete(f.getPath(), True)
 
     def drop(self, mode: str = "all") -> None:
         tables, marker = MODES[mode]

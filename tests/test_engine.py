@@ -272,6 +272,33 @@ def test_store(spark, tmp_path):
     assert Store(spark, "/x", "a/b").root == "/x/branches/a--b/storage"
 
 
+def test_store_writes_only_what_changes(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/ix", buckets=4)
+    ddl = "path string, mtime bigint, indexed_at bigint"
+    s.append("file_metadata", spark.createDataFrame([(f"f{i}", i, 1) for i in range(40)], ddl))
+    first = s.manifest("file_metadata")["parts"]
+    assert sorted(first) == ["0", "1", "2", "3"]
+    before = s.read("file_metadata")
+    s.upsert_metadata(spark.createDataFrame([("f7", 99, 2)], ddl))
+    second = s.manifest("file_metadata")["parts"]
+    assert sum(first[k] != second[k] for k in first) == 1
+    assert before.count() == 40 and before.where("mtime = 99").count() == 0  # the state before still reads
+    s.append("file_metadata", spark.createDataFrame([("new", 1, 3)], ddl))
+    s.delete("file_metadata", spark.createDataFrame([("f8",)], "path string"), "path")
+    s.delete("file_metadata", spark.createDataFrame([(99,), (3,)], "mtime long"), "mtime")  # found by a scan
+    assert {r.path for r in s.read("file_metadata").collect()} == {f"f{i}" for i in range(40) if i not in (3, 7, 8)} | {"new"}
+    # a part of a writer that died before its manifest isn't read, and goes
+    s._written("file_metadata", s.read("file_metadata"), 4)
+    assert s.count("file_metadata") == 38
+    s.compact("file_metadata")
+    assert s.count("file_metadata") == 38 and all(len(p) == 1 for p in s.manifest("file_metadata")["parts"].values())
+    named = {p.split("/")[0] for ps in s.manifest("file_metadata")["parts"].values() for p in ps}
+    assert named < {p.name for p in (tmp_path / "ix/storage/file_metadata").glob("part-*")}
+    old = s.manifest("file_metadata") | {"version": 1}
+    with pytest.raises(RuntimeError):
+        s._commit("file_metadata", old, {})
+
+
 def test_lock(tmp_path):
     p = str(tmp_path / "lock")
     with Lock(p):
