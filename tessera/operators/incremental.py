@@ -56,11 +56,11 @@ def distinct_paths(tables: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
-def index_params(n: int) -> int | None:
-    """Partitions of a vector index: none below 1000 rows, about the root, at most 1024."""
+def index_params(n: int, always_root: bool = False) -> int | None:
+    """Partitions of a vector index, 2 to 1024: none below 1000 rows, about the root, one for 1,048,576 rows from that many on unless always_root."""
     if n < 1000:
         return None
-    return min(1024, max(2, n // 1_048_576 if n >= 1_048_576 else math.isqrt(n)))
+    return min(1024, max(2, n // 1_048_576 if n >= 1_048_576 and not always_root else math.isqrt(n)))
 
 
 def should_recreate(partitions_now: int, partitions_wanted: int) -> bool:

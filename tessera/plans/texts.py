@@ -167,8 +167,8 @@ _TABLES = ["documents", "pages", "conversations", "embeddings", "lineitem", "ord
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, CASE WHEN count(*) < 1000 THEN NULL ELSE greatest(2, least(1024, floor(sqrt(count(*)))::int)) END AS partitions FROM {t}" for t in _TABLES))
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts and what a vector index over each table would have as partitions."""
-    rows = [(t, n, incremental.index_params(n)) for t in _TABLES for n in [table(spark, sf_dir, t).count()]]
+    """Row counts and what a vector index over each table would have as partitions, by the root at every size."""
+    rows = [(t, n, incremental.index_params(n, always_root=True)) for t in _TABLES for n in [table(spark, sf_dir, t).count()]]
     return spark.createDataFrame(rows, "name string, rows long, partitions int")
 
 

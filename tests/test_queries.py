@@ -44,3 +44,15 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_index_stats_of_large_tables(spark, tmp_path):
+    """Tables around 1,048,576 rows, where the root passes the most partitions."""
+    con = duckdb.connect()
+    for t, n in {"documents": 999, "pages": 1000, "conversations": 1_048_575, "embeddings": 1_048_576, "lineitem": 2_500_000, "orders": 0}.items():
+        con.execute(f"COPY (SELECT range AS x FROM range({n})) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = QUERIES["index_stats"](spark, str(tmp_path))
+    want = con.execute(ORACLE["index_stats"])
+    columns = [d[0] for d in want.description]
+    assert rows_of(got.columns, got.collect()) == rows_of(columns, want.fetchall())
